@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom.llm.bpe_codec import decode_ids, encode_documents
 from sessionloom.llm.packing import pack_documents
 from sessionloom.llm.token_counts import count_tokens
+from sessionloom.llm.topk_search import top_k
 from sessionloom.llm.token_records import read_records, write_records
 
 
@@ -37,13 +38,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_records(write_records(table(spark, sf_dir, "documents"), vocabulary(), end_id=0))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe_codec, op5_best_fit_packing, op6_token_counts, op9_token_records)}
+    return {f.__name__: f for f in (op2_bpe_codec, op5_best_fit_packing, op6_token_counts, op7_top_k_search, op9_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.bpe_codec import decode_ids, encode_documents
 from sessionloom.llm.packing import pack_documents
 from sessionloom.llm.token_counts import count_tokens
-from sessionloom.llm.topk_search import top_k
 from sessionloom.llm.token_records import read_records, write_records
+from sessionloom.llm.topk_search import top_k
+from sessionloom.llm.toxicity import fit, score
 
 
 def vocabulary() -> str:
@@ -42,13 +43,26 @@ def op7_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def held_out(doc_id) -> Column:
+    return F.crc32(doc_id.cast("string")) % 5 == 0
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    model = fit(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+    return score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_records(write_records(table(spark, sf_dir, "documents"), vocabulary(), end_id=0))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe_codec, op5_best_fit_packing, op6_token_counts, op7_top_k_search, op9_token_records)}
+    return {f.__name__: f for f in (op2_bpe_codec, op5_best_fit_packing, op6_token_counts, op7_top_k_search, op8_toxicity, op9_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:

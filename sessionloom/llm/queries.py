@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.bpe_codec import decode_ids, encode_documents
 from sessionloom.llm.packing import pack_documents
+from sessionloom.llm.secrets import find_secrets, joined
 from sessionloom.llm.token_counts import count_tokens
 from sessionloom.llm.token_records import read_records, write_records
 from sessionloom.llm.topk_search import top_k
@@ -23,6 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "secrets").select(
+        "doc_id",
+        *(count(k) for k in ("assign", "access", "hex")),
+        F.sha2(joined(F.col("secrets.base")), 256).alias("base_sha256"),
+        joined(F.col("secrets.spans")).alias("spans"),
+    )
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     decoded = decode_ids(encode_documents(table(spark, sf_dir, "documents"), path), path)
@@ -62,7 +76,7 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe_codec, op5_best_fit_packing, op6_token_counts, op7_top_k_search, op8_toxicity, op9_token_records)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_codec, op5_best_fit_packing, op6_token_counts, op7_top_k_search, op8_toxicity, op9_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:

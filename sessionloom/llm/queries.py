@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom.llm.bpe_codec import decode_ids, encode_documents
 from sessionloom.llm.packing import pack_documents
 from sessionloom.llm.secrets import find_secrets, joined
+from sessionloom.llm.suffix_dedup import repeated_bytes
 from sessionloom.llm.token_counts import count_tokens
 from sessionloom.llm.token_records import read_records, write_records
 from sessionloom.llm.topk_search import top_k
@@ -75,8 +76,16 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_codec, op5_best_fit_packing, op6_token_counts, op7_top_k_search, op8_toxicity, op9_token_records)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_codec, op5_best_fit_packing, op6_token_counts, op7_top_k_search, op8_toxicity, op9_token_records, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

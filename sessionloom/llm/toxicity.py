@@ -205,23 +205,38 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = SAMPLE_PE
     return Model(buckets, w * r, b)
 
 
+def _scores(column, model: Model, table: np.ndarray) -> np.ndarray:
+    text, feature = present(column, table, len(model.buckets))
+    total = np.bincount(text, model.weights[feature], len(column)) + model.intercept
+    return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+
+
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every document; null and empty texts have the intercept's score.
 
     No shuffle; repeated rows and null ids keep their rows; other columns are not read.
     """
     ship(docs.sparkSession)
-    table, n = docs.sparkSession.sparkContext.broadcast(model.table()), len(model.buckets)
+    table = docs.sparkSession.sparkContext.broadcast(model.table())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                text, feature = present(part.column("text"), table.value, n)
-                total = np.bincount(text, model.weights[feature], part.num_rows) + model.intercept
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(total, -40, 40))))],
-                    names=["doc_id", "score"],
-                )
+                found = _scores(part.column("text"), model, table.value)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
 
     read = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return read.mapInArrow(run, "doc_id long, score double")
+
+
+def drop_toxic(docs: DataFrame, model: Model, *, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is below `least`."""
+    ship(docs.sparkSession)
+    table = docs.sparkSession.sparkContext.broadcast(model.table())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(_scores(part.column(text_col), model, table.value) < least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,0 +1 @@
+"""The engine is a batch engine: no operator of it needs a stream.  Batch operators take any DataFrame."""

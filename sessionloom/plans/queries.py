@@ -179,7 +179,7 @@ def popularity_candidates_outer(spark, d):
 
 def session_embedding(spark, d):
     rows = vectors.session_vectors(events(spark, d), item_vectors(spark, d), CONFIG)
-    return rows.select("session", F.posexplode("vector").alias("dim", "x")).select("session", "dim", F.round("x", 5).alias("x"))
+    return rows.select("session", F.posexplode("vector").alias("dim", "x")).select("session", "dim", "x")
 
 
 def session_item_similarity(spark, d):

@@ -25,6 +25,7 @@ from sessionloom.llm._spark import schema_plus, ship, slices, store
 
 CAPACITY = 2048
 GROUP_ITEMS = 60_000
+EFFORT = 3_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -72,6 +73,7 @@ class Bins:
         self.room: list[int] = []
         self.by_room: list[set[int]] = [set() for _ in range(capacity + 1)]
         self.mask = 0  # bit r: some bin has room r
+        self.effort = 0  # exchanges that may still be compared
 
     def _enter(self, b: int) -> None:
         r = self.room[b]
@@ -111,15 +113,16 @@ class Bins:
         self._enter(b)
 
 
-def pack(size: np.ndarray, capacity: int = CAPACITY, rounds: int = 200) -> list[list[int]]:
-    """Bins (lists of item numbers) for items of 1 to `capacity` tokens."""
+def pack(size: np.ndarray, capacity: int = CAPACITY, effort: int = EFFORT) -> list[list[int]]:
+    """Bins (lists of item numbers) for items of 1 to `capacity` tokens; the search ends at
+    the lower bound, when no exchange helps, or after comparing `effort` exchanges."""
     bins = Bins(capacity)
+    bins.effort = effort
     for i in np.argsort(-size, kind="stable").tolist():
         bins.add(int(size[i]), i)
     bound = math.ceil(int(size.sum()) / capacity)
-    for _ in range(rounds):
-        if len(bins.room) <= bound or not _improve(bins, size):
-            break
+    while len(bins.room) > bound and bins.effort > 0 and _improve(bins, size):
+        pass
     return [x for x in bins.items if x]
 
 
@@ -129,7 +132,11 @@ def _improve(bins: Bins, size: np.ndarray) -> bool:
     gained = False
     while bins.items[target]:
         if not _move(bins, target, size) and not _exchange(bins, target, size):
-            return gained
+            if gained:
+                return True
+            # other bins may exchange with each other, and so make room
+            donors = sorted((b for b in range(len(bins.room)) if bins.room[b] and b != target), key=lambda b: -bins.room[b])
+            return any(bins.effort > 0 and _exchange(bins, b, size) for b in donors)
         gained = True
     bins._leave(target)
     last = len(bins.room) - 1
@@ -168,10 +175,11 @@ def _exchange(bins: Bins, target: int, size: np.ndarray) -> bool:
     offers = [([x], int(size[x])) for x in own] + [
         ([x, y], int(size[x] + size[y])) for i, x in enumerate(own[:12]) for y in own[:i]
     ]
-    for b in underfull[:2000]:
+    for b in underfull:
         room, other = bins.room[b], bins.items[b]
         asks = [([y], int(size[y])) for y in other]
         asks += [([y, z], int(size[y] + size[z])) for i, y in enumerate(other[:12]) for z in other[:i]]
+        bins.effort -= len(offers) * len(asks)
         for give, g in offers:
             for take, t in asks:
                 gain = g - t
@@ -181,7 +189,7 @@ def _exchange(bins: Bins, target: int, size: np.ndarray) -> bool:
                     fall = (bins.capacity - bins.room[target]) ** 2 - (bins.capacity - bins.room[target] - gain) ** 2
                     if rise > fall and (best is None or gain > best[0]):
                         best = gain, b, give, take
-        if best is not None and best[0] == room:
+        if bins.effort < 0 or best is not None and best[0] == room:
             break
     if best is None:
         return False

@@ -53,7 +53,7 @@ def shingles(column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros(len(begin), np.uint64)
     for k in range(words):
         more = rank + k < count[text]
-        part = np.where(more, np.append(word[k:], np.zeros(k, np.uint64)), np.uint64(0))
+        part = np.where(more, np.append(word[k:], np.zeros(min(k, len(word)), np.uint64)), np.uint64(0))
         out = mix(out * FACTOR + part)
     keep = (rank + words <= count[text]) | (rank == 0)
     out, text = out[keep], text[keep]

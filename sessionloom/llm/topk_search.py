@@ -171,7 +171,7 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k highest integer inner products of each query.
 
-    `is_query` is a condition on vec_id.  Ties go to smaller ids.  Vectors without an
+    `is_query` is a condition on the column named vec_id, as F.col or SQL text.  Ties go to smaller ids.  Vectors without an
     id, null ones and those that hold nulls, NaN or infinities take no part; vectors of
     another length than the query's are no candidates.  Rows with an id in common are
     separate: each such query row has its own k results and its twin as a candidate.

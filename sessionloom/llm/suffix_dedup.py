@@ -29,10 +29,10 @@ from pyspark.sql import types as T
 
 from sessionloom.llm._bpe import ragged_take, text_buffers
 from sessionloom.llm._chunks import chunks, packed, squeeze, unpacked, unsqueeze
-from sessionloom.llm._spark import partitions, ship
+from sessionloom.llm._spark import partitions, ship, store
 
 LENGTH, ANCHOR = 200, 64
-CHUNK_BYTES, PART = 16 << 20, 1 << 20
+CHUNK_BYTES, PART = 8 << 20, 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ONCE, SAME, MIXED = 0, 1, 2  # of smallest ranks: unique; one extent; several
@@ -416,7 +416,8 @@ def repeated_bytes(
     columns = docs.select("text", *(c for c in docs.columns if c != "text"))
     buckets = 4 * partitions(spark)
     first = columns.select("text").mapInArrow(_first_lists(chunk_bytes, length, anchor, buckets), LISTS)
-    answers = first.groupBy("bucket").applyInArrow(_count_bucket, BACK)
+    # written, as both later rounds must see the same partners
+    answers = store(first.groupBy("bucket").applyInArrow(_count_bucket, BACK), "ranks")
     texts = columns.mapInArrow(packed(chunk_bytes), "chunk binary, packed binary")
     second = answers.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_second_lists(length, anchor, buckets), LISTS)
     more = second.groupBy("bucket").applyInArrow(_count_bucket, BACK)

@@ -47,7 +47,7 @@ ALPHABETS = (
 BANDS = (20, 24, 32, 48, 64)  # least lengths
 RANDOM_ALPHA, DISCOVERY_RATE = 0.01, 0.01
 # Of text: the chance that two, and that three, characters are equal, and of a change of class.
-PAIR, TRIPLE, CHANGE = 0.066, 0.0056, 0.15
+PAIR, TRIPLE, CHANGE = 0.066, 0.0056, 0.3
 BIN = 0.05
 
 

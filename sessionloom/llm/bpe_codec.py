@@ -2,150 +2,149 @@
 
 1.  Whole documents are gathered into chunks of about `CHUNK_BYTES` of text; a
     chunk's key is a hash of its texts.
-2.  Each chunk gives its distinct words, numbered by first appearance.  They are
-    shuffled and sorted by word, so each distinct word of the corpus lies in one
-    place, is encoded once, and its ids go back to (chunk, number).
+2.  Each chunk gives its distinct words, in lists by hash bucket.  A bucket's lists
+    meet in one task, which encodes each distinct word of the corpus once and sends
+    every list's ids back to its chunk.
 3.  Chunks meet their ids by key; ids are laid out by position.
 4.  Decoding joins ids with the pieces of the vocabulary (a fixed table) and joins
     the pieces' bytes.
 
-A hot word has one row for each chunk at most, so no key gathers more rows than
-there are chunks.
+A word comes once from a chunk at most, so no bucket grows with a hot word; there are
+as many buckets as four times the shuffle partitions.  Lists and texts travel
+compressed, as the texts would else be the largest part of the shuffle.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.ipc  # noqa: F401  pa.ipc
 from pyspark.sql import DataFrame
 
 from sessionloom.llm import _bpe
-from sessionloom.llm._spark import schema_plus, ship, slices
+from sessionloom.llm._chunks import chunks, packed, squeeze, unpacked, unsqueeze
+from sessionloom.llm._spark import partitions, schema_plus, ship, slices
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[bytes, pa.Table]]:
-    """(key, documents) of every chunk; the same rows give the same chunks on each run."""
-    held: list[pa.RecordBatch] = []
-    total = 0
-    for batch in batches:
-        for part in slices(batch, "text", size // 4):
-            held.append(part)
-            total += part.column("text").nbytes
-            if total >= size:
-                yield _keyed(held)
-                held, total = [], 0
-    if held:
-        yield _keyed(held)
+def _bounds(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, first, length) of the words."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2], np.uint8), offsets[:-1], np.diff(offsets)
 
 
-def _keyed(parts: list[pa.RecordBatch]) -> tuple[bytes, pa.Table]:
-    table = pa.Table.from_batches(parts).combine_chunks()
-    data, offsets = _bpe.text_buffers(table["text"])
-    digest = hashlib.blake2b(data, digest_size=16)
-    digest.update(np.ascontiguousarray(offsets))
-    return digest.digest(), table
+def _bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
+    """A hash bucket of each word (no word is empty)."""
+    data, first, length = _bounds(words)
+    if not len(first):
+        return first
+    low = int(first[0])
+    place = np.arange(int(length.sum())) - np.repeat(first - low, length)
+    power = np.power(np.uint64(0x100000001B3), np.arange(256, dtype=np.uint64))
+    value = (data[low : low + len(place)] + np.uint64(1)) * power[place & 255]
+    mixed = np.add.reduceat(value, first - low) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _words(path: str, size: int):
+def _words(path: str, size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, table in _chunks(batches, size):
+        for key, table in chunks(batches, size):
             words, _, _ = _bpe.distinct_words(table["text"], path)
-            n = len(words)
-            for a in range(0, n, 50_000):
-                m = min(50_000, n - a)
-                yield pa.RecordBatch.from_arrays(
-                    [words.slice(a, m).cast(pa.binary()), pa.array([key] * m, pa.binary()), pa.array(np.arange(a, a + m, dtype=np.int32))],
-                    names=["word", "chunk", "number"],
-                )
-
-    return run
-
-
-def _packed(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, table in _chunks(batches, size):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                names=["chunk", "packed"],
-            )
+            data, first, length = _bounds(words)
+            bucket = _bucket_of(words, buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                mine = order[cuts[b] : cuts[b + 1]]
+                spread = _bpe.ragged_take(data, first[mine], length[mine])
+                rows.append({"bucket": b, "chunk": key, "words": squeeze(length[mine].astype("<u4"), spread)})
+            kinds = pa.schema([("bucket", pa.int32()), ("chunk", pa.binary()), ("words", pa.binary())])
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
     return run
 
 
-def _encode_sorted(path: str):
+def _encode_bucket(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_ids = None, b""
+        known: dict[bytes, bytes] = {}  # the bucket's words, each encoded once
         for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            fresh = [w for w in words if w != last]
-            ids, sizes = _bpe.encode_words(fresh, path)
-            data, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes) * 4
-            known = dict(zip(fresh, (data[e - 4 * n : e] for e, n in zip(ends.tolist(), sizes.tolist()))))
-            if last is not None:
-                known.setdefault(last, last_ids)
-            each = pa.array([known[w] for w in words], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("chunk"), batch.column("number"), each.take(coded.indices)],
-                names=["chunk", "number", "ids"],
-            )
-            last = batch.column("word")[batch.num_rows - 1].as_py()
-            last_ids = known[last]
+            out = []
+            for row in batch.to_pylist():
+                length, letters = unsqueeze(row["words"], "<u4", "u1")
+                whole, ends = letters.tobytes(), np.cumsum(length).tolist()
+                words = [whole[a:b] for a, b in zip([0, *ends], ends)]
+                fresh = [w for w in words if w not in known]
+                ids, sizes = _bpe.encode_words(fresh, path)
+                joined, stops = ids.astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
+                known.update(zip(fresh, (joined[a:b] for a, b in zip([0, *stops], stops))))
+                got = [known[w] for w in words]
+                size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+                every = np.frombuffer(b"".join(got), "<u4")
+                narrow = not len(every) or every.max() <= 0xFFFF
+                ids_kind = "<u2" if narrow else "<u4"
+                data = squeeze(np.array([2 if narrow else 4], "u1"), size.astype("<u4"), every.astype(ids_kind))
+                out.append({"chunk": row["chunk"], "bucket": row["bucket"], "ids": data})
+            kinds = pa.schema([("chunk", pa.binary()), ("bucket", pa.int32()), ("ids", pa.binary())])
+            yield pa.RecordBatch.from_pylist(out, kinds)
 
     return run
 
 
-def _lay_out(path: str):
+def _lay_out(path: str, buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        number = left["number"].to_numpy()
-        ids = left["ids"].combine_chunks()
-        for packed in right["packed"]:
-            table = pa.ipc.open_stream(packed.as_buffer()).read_all()
+        lists = dict(zip(left["bucket"].to_pylist(), left["ids"].to_pylist()))
+        for table in map(unpacked, right["packed"]):
             words, index, first = _bpe.distinct_words(table["text"], path)
-            n = len(words)
-            place = np.full(n, -1, np.int64)
-            inside = number < n
-            place[number[inside]] = np.flatnonzero(inside)
-            values, begin, size = _binary_ids(ids, place, words, path)
+            values, begin, size = _word_ids(lists, words, path, buckets)
             spread = _bpe.ragged_take(values, begin[index], size[index])
             ends = np.append(0, np.cumsum(size[index]))[first]
             data = pa.py_buffer(np.ascontiguousarray(spread, "<u4"))
-            ids_of = pa.Array.from_buffers(pa.large_binary(), table.num_rows, [None, pa.py_buffer(ends * 4), data])
-            out.append(pa.table([table["doc_id"], pa.array(np.diff(ends)), ids_of.cast(pa.binary())], names=["doc_id", "n_tokens", "ids"]))
-        return pa.concat_tables(out) if out else EMPTY
+            ids = pa.Array.from_buffers(pa.large_binary(), table.num_rows, [None, pa.py_buffer(ends * 4), data])
+            out.append(
+                pa.table(
+                    [table["doc_id"], pa.array(np.diff(ends)), ids.cast(pa.binary())], names=["doc_id", "n_tokens", "ids"]
+                )
+            )
+        kinds = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+        return pa.concat_tables(out) if out else kinds.empty_table()
 
     return run
 
 
-EMPTY = pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
-
-
-def _binary_ids(ids: pa.Array, place: np.ndarray, words: pa.Array, path: str):
-    """(all ids joined, first, number) of each word.  A word without a row, as when a
-    retried task cut its chunks elsewhere, is encoded here."""
-    lost = np.flatnonzero(place < 0)
-    if len(ids):
-        offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
-        values = np.frombuffer(ids.buffers()[2], "<u4")
-        begin, size = offsets[:-1][place] // 4, np.diff(offsets)[place] // 4
-    else:
-        values, begin, size = np.zeros(0, "<u4"), np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-    if len(lost):
-        more, sizes = _bpe.encode_words(words.take(pa.array(lost)).to_pylist(), path)
-        begin[lost], size[lost] = len(values) + np.cumsum(sizes) - sizes, sizes
-        values = np.append(values, more.astype("<u4"))
-    return values, begin, size
+def _word_ids(lists: dict[int, bytes], words: pa.Array, path: str, buckets: int):
+    """(all ids joined, first, number) of each word.  Words without a list, as when a
+    repeated task cut its chunks elsewhere, are encoded here."""
+    bucket = _bucket_of(words, buckets)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    size, parts, lost = np.zeros(len(words), np.int64), [], []
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        mine = order[cuts[b] : cuts[b + 1]]
+        if b in lists:
+            width = unsqueeze(lists[b], "u1")[0][0]
+            _, each, ids = unsqueeze(lists[b], "u1", "<u4", f"<u{width}")
+            size[mine] = each
+            parts.append(ids.astype("<u4"))
+        else:
+            lost.append(mine)
+    placed = order
+    if lost:
+        rest = np.concatenate(lost)
+        placed = order[~np.isin(order, rest)]
+        more, each = _bpe.encode_words(words.take(pa.array(rest)).to_pylist(), path)
+        size[rest] = each
+        parts.append(more.astype("<u4"))
+        placed = np.append(placed, rest)
+    begin = np.zeros(len(words), np.int64)
+    begin[placed] = np.cumsum(size[placed]) - size[placed]
+    return np.concatenate(parts) if parts else np.zeros(0, "<u4"), begin, size
 
 
 def encode_documents(
@@ -160,17 +159,14 @@ def encode_documents(
     """
     ship(docs.sparkSession)
     read = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    words = read.mapInArrow(_words(path, chunk_bytes), "word binary, chunk binary, number int")
-    ids = (
-        words.repartition("word")
-        .sortWithinPartitions("word")
-        .mapInArrow(_encode_sorted(path), "chunk binary, number int, ids binary")
-    )
-    packed = read.mapInArrow(_packed(chunk_bytes), "chunk binary, packed binary")
+    buckets = 4 * partitions(docs.sparkSession)
+    words = read.mapInArrow(_words(path, chunk_bytes, buckets), "bucket int, chunk binary, words binary")
+    ids = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "chunk binary, bucket int, ids binary")
+    texts = read.mapInArrow(packed(chunk_bytes), "chunk binary, packed binary")
     return (
         ids.groupBy("chunk")
-        .cogroup(packed.groupBy("chunk"))
-        .applyInArrow(_lay_out(path), "doc_id long, n_tokens long, ids binary")
+        .cogroup(texts.groupBy("chunk"))
+        .applyInArrow(_lay_out(path, buckets), "doc_id long, n_tokens long, ids binary")
     )
 
 

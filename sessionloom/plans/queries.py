@@ -304,13 +304,13 @@ def _numeric(spark, d) -> DataFrame:
 
 
 def ranker_scores(spark, d):
-    rows = _numeric(spark, d)
+    rows = _numeric(spark, d).persist()  # read by every tree and again for the scores
     trained = R.train(rows, ("carts",), CONFIG, **SMALL)
     return R.recommend(rows, trained, CONFIG)
 
 
 def feature_importance(spark, d):
-    rows = _numeric(spark, d)
+    rows = _numeric(spark, d).persist()
     trained = R.train(rows, ("orders",), CONFIG, **SMALL)
     return ranking.feature_importance(spark, trained.models["orders"], trained.columns)
 

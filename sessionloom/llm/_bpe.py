@@ -233,7 +233,7 @@ def byte_chars() -> dict[int, str]:
 class WordCache:
     """Ids of the words met so far in this Python worker, at most `limit` words."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 300_000):
         self.path, self.limit = path, limit
         self.clear()
 

@@ -99,7 +99,7 @@ def merger(path: str) -> RankMerger:
 class CountCache:
     """Token counts of the pre-tokens met in this Python worker, at most `limit` of them."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 300_000):
         self.path, self.limit, self.known = path, limit, {}
         self.special = _bpe.specials(path)
 

@@ -28,7 +28,7 @@ from sessionloom.llm._spark import ship, slices, store
 
 SAMPLE_PER_CLASS = 8000
 BITS, ORDERS = 20, (3, 4, 5)
-BLOCK = 1 << 16
+BLOCK, PART = 1 << 16, 1 << 20
 Z_LEAST, MOST_FEATURES, PENALTY, STEPS = 4.0, 4000, 1.0, 150
 
 
@@ -45,7 +45,7 @@ def grams(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
     left = (offsets[1:][text] - np.arange(len(data))).astype(np.int64)
     value = np.zeros(len(data), np.uint64)
-    for n in range(1, max(ORDERS) + 1):
+    for n in range(1, min(max(ORDERS), len(data)) + 1):
         value = value * np.uint64(0x100000001B3)
         value[: len(data) - n + 1] += data[n - 1 :] + np.uint64(1)
         if n in ORDERS:
@@ -83,7 +83,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many texts of each class the buckets occur: a row per block of buckets."""
     count = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", PART):
             label = part.column("label").to_numpy(zero_copy_only=False)
             for bucket, text in grams(part.column("text")):
                 both = np.unique((text << BITS) + bucket)
@@ -111,7 +111,7 @@ def _added(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _features(batches: Iterator[pa.RecordBatch], table: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", PART):
             text, feature = present(part.column("text"), table, n)
             each = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(each), pa.array(feature.astype(np.int32)))
@@ -221,7 +221,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 found = _scores(part.column("text"), model, table.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
 
@@ -230,13 +230,16 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose score is below `least`."""
+    """The rows, with all their columns, whose score is below `least`.  A model that learned no
+    feature tells no text from another and rejects none."""
+    if not len(model.buckets):
+        return docs
     ship(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(model.table())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, PART):
                 yield part.filter(pa.array(_scores(part.column(text_col), model, table.value) < least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,13 +5,17 @@
     CELL vectors; a vector keeps its NEIGHBOURS best of its cells.
 3.  Refinement: each vector brings its neighbours and those that list it together; the
     pairs that enter a list better than its last are kept, until few lists change.
-4.  Audit: for AUDIT vectors by hash order all vectors of the label are compared; if
-    less than RECALL of their links are connected in the lists' graph, further tables
-    and rounds follow.
-5.  Links are the lists' pairs at the threshold.  A vector whose last neighbour is still
-    within it has a saturated list; lists are enlarged to the connected component, whose
-    members are compared in blocks, exactly and in double precision.  Blocks give
-    counts, not pairs.
+4.  Links are the lists' pairs at the threshold.  A vector whose last neighbour is still
+    within it has a saturated list.  Such vectors search again, now only outside their
+    connected component, and those whose new lists are saturated once more outside the
+    grown component, until none is or no link is new.
+5.  Audit: sampled vectors are compared with all of their label, a chunk of the corpus
+    after another until ENOUGH of those with links lie in components of at most k, or
+    all are compared.  Each vector counts once, in components of at most k and in
+    larger ones apart; if either mean share of connected links is below RECALL, further
+    tables and rounds follow, and after MOST_AUDITS all vectors of a label are compared.
+6.  The members of a component are compared in blocks, exactly and in double precision.
+    Blocks give counts, not pairs.
 """
 
 from __future__ import annotations
@@ -21,15 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.llm._components import components
 from sessionloom.llm._spark import partitions, ship, store
 
 THRESHOLD, NEIGHBOURS, TABLES, CELL = 0.93, 10, 6, 32
-ROUNDS, SETTLED = 4, 0.02
-AUDIT, RECALL, MOST_AUDITS = 256, 0.99, 4
+SETTLED = 0.02
+AUDIT, MOST_AUDITED, ENOUGH, RECALL, MOST_AUDITS = 256, 8192, 100, 0.99, 4
 BLOCK = 512
 SLACK = 1e-4  # lists hold single precision
 LISTS = "node long, other long, cosine float"
@@ -86,7 +90,7 @@ def _each_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
 
 
 def _codes(batches: Iterator[pa.RecordBatch], first: int, last: int, bits: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """(label, table, code, spread, node, unit): a vector's cells."""
+    """(label, table, code, node, group, unit): a vector's cells."""
     for batch in batches:
         units = batch.column("unit").to_pylist()
         size = np.fromiter(map(len, units), np.int64, len(units))
@@ -101,8 +105,8 @@ def _codes(batches: Iterator[pa.RecordBatch], first: int, last: int, bits: dict[
                 sides *= np.arange(30) < width[:, None]
                 code = sides @ (np.int64(1) << np.arange(30, dtype=np.int64)) * 4096 + dim % 4096
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(labels[mine]), pa.array(np.full(len(mine), t, np.int32)), pa.array(code), batch.column("node").take(pa.array(mine)), batch.column("unit").take(pa.array(mine))],
-                    names=["label", "table", "code", "node", "unit"],
+                    [pa.array(labels[mine]), pa.array(np.full(len(mine), t, np.int32)), pa.array(code), *(batch.column(c).take(pa.array(mine)) for c in ("node", "group", "unit"))],
+                    names=["label", "table", "code", "node", "group", "unit"],
                 )
 
 
@@ -111,17 +115,19 @@ def _matrix(table: pa.Table, kind: str = "<f4") -> np.ndarray:
 
 
 def _best_of_cells(batches: Iterator[pa.RecordBatch], keys: list[str], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of each member of a cell."""
+    """The k best of each member of a cell among those of other groups."""
     for cell in _each_group(batches, keys):
         m = cell.num_rows
         if m < 2:
             continue
-        x, node = _matrix(cell), cell["node"].to_numpy()
+        x, node, own = _matrix(cell), cell["node"].to_numpy(), cell["group"].to_numpy()
         cosine = x @ x.T
-        np.fill_diagonal(cosine, -2)
+        cosine[own[:, None] == own[None, :]] = -2
         n = min(k, m - 1)
         best = np.argpartition(-cosine, n - 1, axis=1)[:, :n] if n < m - 1 else np.argsort(-cosine, axis=1)[:, :n]
-        yield _list_rows(np.repeat(node, n), node[best].ravel(), np.take_along_axis(cosine, best, 1).ravel())
+        found = np.take_along_axis(cosine, best, 1).ravel()
+        apart = found > -2
+        yield _list_rows(np.repeat(node, n)[apart], node[best].ravel()[apart], found[apart])
 
 
 def _list_rows(node: np.ndarray, other: np.ndarray, cosine: np.ndarray) -> pa.RecordBatch:
@@ -134,7 +140,7 @@ def _top(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """The k best distinct neighbours of each node, from rows sorted by node."""
     for table in _groups(batches, ["node"]):
         node, other, cosine = (table[c].to_numpy() for c in ("node", "other", "cosine"))
-        order = np.lexsort((other, node))
+        order = np.lexsort((-cosine, other, node))
         node, other, cosine = node[order], other[order], cosine[order]
         new = np.append(True, (node[1:] != node[:-1]) | (other[1:] != other[:-1]))
         node, other, cosine = node[new], other[new], cosine[new]
@@ -147,13 +153,14 @@ def _top(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a node's companions that beat the last of either's list."""
+    """Pairs of a node's companions, of different groups, that beat the last of either's list."""
     for group in _each_group(batches, ["centre", "block"]):
         if group.num_rows < 2:
             continue
         x, node, last = _matrix(group), group["node"].to_numpy(), group["last"].to_numpy()
+        own = group["group"].to_numpy()
         cosine = x @ x.T
-        cosine[node[:, None] == node[None, :]] = -2
+        cosine[own[:, None] == own[None, :]] = -3
         a, b = np.nonzero(cosine > last[:, None])
         if len(a):
             yield _list_rows(node[a], node[b], cosine[a, b])
@@ -167,8 +174,8 @@ def _lists(rows: DataFrame, k: int) -> DataFrame:
 def _first_lists(vectors: DataFrame, first: int, last: int, k: int) -> DataFrame:
     counts = {r.label: r.n for r in vectors.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row per label
     bits = {int(v): min(30, max(0, round(math.log2(n / CELL)))) for v, n in counts.items()}
-    cells = vectors.select("label", "node", "unit").mapInArrow(
-        lambda b: _codes(b, first, last, bits), "label long, table int, code long, node long, unit binary"
+    cells = vectors.select("label", "node", "group", "unit").mapInArrow(
+        lambda b: _codes(b, first, last, bits), "label long, table int, code long, node long, group long, unit binary"
     )
     cells = store(cells, "cells")
     keys = ["label", "table", "code"]
@@ -176,21 +183,23 @@ def _first_lists(vectors: DataFrame, first: int, last: int, k: int) -> DataFrame
     # a crowded cell is dealt into parts; the rounds and the components join them again
     dealt = cells.join(size, keys).withColumn("part", F.pmod(F.xxhash64("node", "table"), F.col("parts")).cast("int"))
     keys = [*keys, "part"]
-    dealt = dealt.select(*keys, "node", "unit").repartition(partitions(vectors.sparkSession), *keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(*keys, "node", "group", "unit").repartition(partitions(vectors.sparkSession), *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(lambda b: _best_of_cells(b, keys, k), LISTS)
 
 
-def _refined(lists: DataFrame, vectors: DataFrame, k: int, salt: int) -> DataFrame:
+def _refined(lists: DataFrame, vectors: DataFrame, known: DataFrame | None, k: int, salt: int) -> DataFrame:
     last = lists.groupBy("node").agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(F.lit(-2.0).cast("float")).alias("last"))
-    both = lists.select(F.col("node").alias("centre"), F.col("other").alias("node"))
-    both = both.unionByName(lists.select(F.col("other").alias("centre"), "node")).distinct()
+    near = lists if known is None else lists.unionByName(known)  # those of its own group lead a vector outside, too
+    both = near.select(F.col("node").alias("centre"), F.col("other").alias("node"))
+    both = both.unionByName(near.select(F.col("other").alias("centre"), "node")).distinct()
     # those who list a much listed vector meet in blocks, dealt anew each round
     listed = both.groupBy("centre").agg(F.ceil(F.count("*") / (6 * k)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node", "centre", F.lit(salt)), F.col("blocks")).cast("int").alias("block")
     members = both.join(listed, "centre").select("centre", block, "node")
-    members = members.join(vectors.select("node", "unit").join(last, "node"), "node")
+    members = members.join(vectors.select("node", "group", "unit").join(last, "node", "left"), "node")
     keys = ["centre", "block"]
-    dealt = members.select("centre", "block", "node", "unit", "last")
+    members = members.withColumn("last", F.coalesce("last", F.lit(-2.0).cast("float")))
+    dealt = members.select("centre", "block", "node", "group", "unit", "last")
     dealt = dealt.repartition(partitions(lists.sparkSession), *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(_joined, LISTS)
 
@@ -214,18 +223,81 @@ def _audited(batches: Iterator[pa.RecordBatch], sample: list, threshold: float)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[asked][a]), pa.array(node[mine][b])], names=["node", "other"])
 
 
-def _recall(lists: DataFrame, vectors: DataFrame, threshold: float) -> tuple[float, DataFrame]:
-    """(share of sampled vectors' links that the lists connect, components of the lists)."""
-    close = lists.where(F.col("cosine") >= threshold - SLACK)
-    roots = store(components(close, "node", "other"), "roots")
-    chosen = vectors.select("node", "label", "unit").orderBy(F.xxhash64("node"), "node").limit(AUDIT).collect()
-    near = vectors.select("node", "label", "unit").mapInArrow(
-        lambda b: _audited(b, [(r.node, r.label, r.unit) for r in chosen], threshold), "node long, other long"
-    )
-    a, b = roots.toDF("node", "root_a"), roots.toDF("other", "root_b")
-    found = near.join(a, "node", "left").join(b, "other", "left")
-    r = found.agg(F.count("*").alias("n"), F.count_if(F.col("root_a") == F.col("root_b")).alias("hit")).first()
-    return (r.hit / r.n if r.n else 1.0), roots
+def _descended(
+    vectors: DataFrame, lists: DataFrame | None, known: DataFrame | None, first: int, tables: int, k: int
+) -> DataFrame:
+    """Lists of the k best of other groups, from further tables and from rounds until few entries are new."""
+    more = _first_lists(vectors, first, first + tables, k)
+    lists = store(_lists(more if lists is None else lists.unionByName(more), k), "lists")
+    r = 0
+    while True:
+        better = store(_refined(lists, vectors, known, k, first + r), "better")
+        now = store(_lists(lists.unionByName(better), k), "lists")
+        changed = now.join(lists.select("node", "other"), ["node", "other"], "left_anti").count()
+        lists, r = now, r + 1
+        if changed <= SETTLED * lists.count():
+            return lists
+
+
+def _roots(close: DataFrame) -> DataFrame:
+    return store(components(close, "node", "other"), "roots")
+
+
+def _linked_outside(
+    single: DataFrame, lists: DataFrame, close: DataFrame, first: int, tables: int, k: int, threshold: float
+) -> tuple[DataFrame, DataFrame]:
+    """(links, components): with the links that saturated lists have no room for, as far as they join components."""
+    roots, known = _roots(close), lists
+    while True:
+        full = lists.groupBy("node").agg(F.count("*").alias("n"), F.min("cosine").alias("last"))
+        full = full.where((F.col("n") >= k) & (F.col("last") >= threshold - SLACK)).select("node")
+        part = single.join(full, "node").join(roots.select("node", F.col("root").alias("group")), "node")
+        part = store(part.select("node", "label", "group", "unit"), "saturated")
+        several = part.groupBy("label").agg(F.count_distinct("group").alias("n")).where("n > 1").select("label")
+        part = part.join(F.broadcast(several), "label", "left_semi")
+        if part.isEmpty():
+            return close, roots
+        lists = _descended(part, None, known.join(part.select("node"), "node", "left_semi"), first, tables, k)
+        found = lists.where(F.col("cosine") >= threshold - SLACK)
+        if found.isEmpty():
+            return close, roots
+        first += tables
+        close = store(close.unionByName(found.select("node", "other")), "close")
+        known = known.unionByName(lists)
+        roots = _roots(close)
+
+
+def _recall(single: DataFrame, roots: DataFrame, threshold: float, k: int) -> tuple[float, DataFrame | None]:
+    """(mean share of a vector's links that are connected, the least of small and large components; links that are not)."""
+    n, whole = single.count(), 1 << 30
+    size = roots.groupBy("root").agg(F.count("*").alias("size"))
+    a = roots.toDF("node", "root_a").join(size.toDF("root_a", "size"), "root_a")
+    b = roots.toDF("other", "root_b")
+    seen, share = {True: 0, False: 0}, {True: 0.0, False: 0.0}
+    missed, low, wanted = None, 0, AUDIT
+    place = F.pmod(F.xxhash64("node"), F.lit(whole))
+    while low < whole and seen[True] < ENOUGH:
+        high = min(whole, low + math.ceil(whole * wanted / max(n, 1)))
+        chosen = single.where((place >= low) & (place < high)).select("node", "label", "unit").collect()
+        sample = [(r.node, r.label, r.unit) for r in chosen]
+        near = single.select("node", "label", "unit").mapInArrow(lambda x: _audited(x, sample, threshold), "node long, other long")
+        found = near.join(a, "node", "left").join(b, "other", "left")
+        found = found.withColumn("hit", F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False)))
+        each = found.groupBy("node").agg(
+            F.avg(F.col("hit").cast("double")).alias("share"), F.coalesce(F.first("size") <= k, F.lit(True)).alias("small")
+        )
+        bad = False
+        for r in each.groupBy("small").agg(F.count("*").alias("n"), F.sum("share").alias("share"), F.min("share").alias("least")).collect():
+            seen[r.small] += r.n
+            share[r.small] += r.share
+            bad |= r.least < 1
+        if bad:
+            more = store(found.where("not hit").select("node", "other"), "missed")
+            missed = more if missed is None else missed.unionByName(more)
+        low, wanted = high, min(2 * wanted, MOST_AUDITED)
+    if low >= whole:  # every vector was compared with all
+        return 1.0, missed
+    return min(share[s] / seen[s] for s in seen if seen[s]), missed
 
 
 def _counted(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -277,20 +349,26 @@ def similar_vectors(
     single = classes.select("node", "label", "exact").mapInArrow(_single, "node long, label long, unit binary")
     single = store(single, "single")
     k, lists, first = neighbours, None, 0
+    more = None  # links that the lists of earlier audits had not
+    each = single.withColumn("group", F.col("node"))
     for _ in range(MOST_AUDITS):
-        more = _first_lists(single, first, first + tables, k)
-        lists = store(_lists(more if lists is None else lists.unionByName(more), k), "lists")
+        lists = _descended(each, lists, None, first, tables, k)
         first += tables
-        size = lists.count()
-        for r in range(ROUNDS):
-            better = store(_refined(lists, single, k, first + r), "better")
-            changed = better.count()
-            lists = store(_lists(lists.unionByName(better), k), "lists")
-            if changed <= SETTLED * size:
-                break
-        recall, roots = _recall(lists, single, threshold)
+        close = lists.where(F.col("cosine") >= threshold - SLACK).select("node", "other")
+        close = close if more is None else close.unionByName(more)
+        more, roots = _linked_outside(single, lists, close, first, tables, k, threshold)
+        recall, missed = _recall(single, roots, threshold, k)
+        if missed is not None:
+            more = more.unionByName(missed)
+            roots = _roots(more)
         if recall >= RECALL:
             break
+    else:
+        kinds = Window.orderBy("label", "length")
+        kind = single.groupBy("label", F.octet_length("unit").alias("length")).count()  # a row per label and length
+        kind = kind.withColumn("root", F.row_number().over(kinds).cast("long"))
+        all_ = single.select("node", "label", F.octet_length("unit").alias("length"))
+        roots = store(all_.join(F.broadcast(kind), ["label", "length"]).select("node", "root"), "roots")
     linked = store(_exact_links(roots, classes, threshold), "linked")
     final = components(linked, "node", "root")
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))

@@ -146,6 +146,66 @@ def test_vectors(spark):
     assert embedding_dedup.similar_vectors(df.where("false")).collect() == []
 
 
+def tight_groups(sizes, cosine, dim=64, noise=0.004, seed=6):
+    """Groups of distinct vectors; the centres of groups 2i and 2i+1 have the given cosine."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i, n in enumerate(sizes):
+        if i % 2 == 0:
+            u, w = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+        centre = u if i % 2 == 0 else cosine * u + np.sqrt(1 - cosine**2) * w
+        rows += [centre + noise * rng.standard_normal(dim) for _ in range(n)]
+    return np.array(rows)
+
+
+def vector_truth(x, threshold=0.93):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= threshold
+    np.fill_diagonal(near, False)
+    sets = {i: set(np.flatnonzero(near[i]).tolist()) for i in range(len(x))}
+    least = {}
+    for i in range(len(x)):
+        if i not in least:
+            left = [i]
+            while left:
+                j = left.pop()
+                if j not in least:
+                    least[j] = i
+                    left += sets[j]
+    return {i: (len(sets[i]), least[i]) for i in sets}
+
+
+def vector_table(spark, x):
+    return spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+
+
+def test_saturated_groups_are_linked(spark, monkeypatch):
+    # lists alone, without what an audit would add
+    monkeypatch.setattr(embedding_dedup, "_recall", lambda *a: (1.0, None))
+    x = tight_groups([20, 20, 15, 15], 0.945)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.similar_vectors(vector_table(spark, x)).collect()}
+    assert got == vector_truth(x) and len({c for _, c in got.values()}) == 2
+
+
+def test_audit_sees_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "AUDIT", 60)
+    x = np.concatenate([tight_groups([400], 1), tight_groups([1, 1] * 150, 0.95, noise=0, seed=8)])
+    rows = [(i, 0, v.astype("<f4").tobytes()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    single = spark.createDataFrame(rows, "node long, label long, unit binary")
+    roots = spark.createDataFrame([(i, 0) for i in range(400)], "node long, root long")
+    recall, missed = embedding_dedup._recall(single, roots, 0.93, 10)
+    assert recall < 0.5 and missed.count() > 0
+
+
+def test_missed_target_compares_all(spark, monkeypatch):
+    empty = lambda vectors, *a: vectors.sparkSession.createDataFrame([], embedding_dedup.LISTS)
+    monkeypatch.setattr(embedding_dedup, "_descended", empty)
+    monkeypatch.setattr(embedding_dedup, "_recall", lambda *a: (0.5, None))
+    x = tight_groups([1, 1] * 10, 0.95, noise=0)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.similar_vectors(vector_table(spark, x)).collect()}
+    assert got == vector_truth(x)
+
+
 def test_top_k(spark):
     rows = odd_vectors()
     df = spark.createDataFrame([(i % 90, v) for i, v, _ in rows], "vec_id long, embedding array<float>").repartition(3)

@@ -6,7 +6,7 @@ of documents.
 
 1.  toxicity: documents that the classifier scores 0.5 or more go.
 2.  near_duplicates: of documents linked by a Jaccard similarity of 0.8 or more on
-    five-word shingles, the one with the least id of each connected group stays.
+    five-word shingles, one row of each connected group stays, of the least id.
 3.  repeated_passages: strings of 200 bytes or more that occur elsewhere are cut from
     all their places; a document that loses everything goes.
 4.  secrets: each secret is replaced by a mark.
@@ -34,10 +34,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, and of rows repeated whole one.  Rows without an id stay."""
-    kept = similar_documents(docs).where("kept").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return chosen.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each group, told apart by row and not by id: that of the least id, rows without one last.
+    Null and empty texts and texts of blanks are groups by themselves; of rows with an id repeated whole one stays."""
+    keyed = store(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    found = similar_documents(keyed, id_col="row_key").select(F.col("doc_id").alias("row_key"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key"))
+    kept = found.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("class_id").agg(first.alias("x"))
+    chosen = keyed.join(kept.select("x.row_key"), "row_key", "left_semi").select(*docs.columns)
+    known = chosen.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return known.unionByName(chosen.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

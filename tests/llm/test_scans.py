@@ -121,3 +121,15 @@ def test_pipeline_catches_what_is_planted(spark, tmp_path):
     assert key not in seen["secrets"].where(F.col("doc_id") == 66).first().text
     assert seen["secrets"].columns == docs.columns
     assert now.select("doc_id").distinct().count() == len(cut)
+
+
+def test_near_duplicates_are_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline as P
+
+    a, b, c = ("".join(x + str(i) + " " for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, b), (1, b), (7, c), (None, c), (None, "x y z"), (None, "x y z"), (8, None), (None, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    got = P.near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    want = [(1, a), (1, b), (7, c), (8, None), (9, ""), (None, None), (None, "x y z")]
+    assert sorted(map(repr, got.select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in want)

@@ -7,9 +7,10 @@ log-count ratio r of every bucket, and the buckets whose rates differ by more th
 `Z_LEAST` standard errors; (3) a logistic regression with L2 penalty on features r,
 by limited-memory BFGS.  A score is the model's probability of label 1.
 
-The fit reads a bounded sample: up to SAMPLE_PER_CLASS labelled rows of each class by
-hash order of their ids, weighted to the classes' shares among all labelled rows.
-Scoring reads every text whole.
+The fit reads a bounded sample: up to SAMPLE_PER_CLASS labelled ids of each class by
+hash order, one text each, weighted to the classes' shares among all labelled ids.  It
+runs in tasks; the driver gets the chosen buckets and their weights alone.  Scoring
+reads every text whole, WINDOW bytes at a time.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from sessionloom.llm._spark import ship, slices, store
 
 SAMPLE_PER_CLASS = 8000
 BITS, ORDERS = 20, (3, 4, 5)
-BLOCK, PART = 1 << 16, 1 << 20
+BLOCK, PART, WINDOW = 1 << 16, 1 << 20, 1 << 20
 Z_LEAST, MOST_FEATURES, PENALTY, STEPS = 4.0, 4000, 1.0, 150
+UNTAUGHT = 0.49  # the highest score of a model without features, which has no ground to call a text toxic
 
 
 def lowered(column) -> pa.Array:
@@ -37,21 +39,23 @@ def lowered(column) -> pa.Array:
     return pa.array([f" {x.lower()} " if x else "" for x in column.to_pylist()], pa.large_string())
 
 
-def grams(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text) of every gram of every text, order by order."""
+def grams(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(order, bucket, text) of every gram of every text, order by order and window by window."""
     data, offsets = text_buffers(lowered(column))
-    if not len(data):
-        return
-    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
-    left = (offsets[1:][text] - np.arange(len(data))).astype(np.int64)
-    value = np.zeros(len(data), np.uint64)
-    for n in range(1, min(max(ORDERS), len(data)) + 1):
-        value = value * np.uint64(0x100000001B3)
-        value[: len(data) - n + 1] += data[n - 1 :] + np.uint64(1)
-        if n in ORDERS:
-            whole = left >= n
-            mixed = value[whole] * np.uint64(0x9E3779B97F4A7C15)
-            yield (mixed >> np.uint64(64 - BITS)).astype(np.int64), text[whole]
+    for begin in range(0, len(data), WINDOW):
+        end = min(begin + WINDOW, len(data))
+        seen = data[begin : end + max(ORDERS) - 1]
+        text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(np.clip(offsets, begin, end)))
+        left = offsets[1:][text] - np.arange(begin, end)
+        value = np.zeros(end - begin, np.uint64)
+        for n in range(1, min(max(ORDERS), len(seen)) + 1):
+            have = min(end - begin, len(seen) - n + 1)
+            value = value * np.uint64(0x100000001B3)
+            value[:have] += seen[n - 1 : n - 1 + have] + np.uint64(1)
+            if n in ORDERS:
+                whole = left >= n
+                mixed = value[whole] * np.uint64(0x9E3779B97F4A7C15)
+                yield n, (mixed >> np.uint64(64 - BITS)).astype(np.int64), text[whole]
 
 
 @dataclass(frozen=True)
@@ -63,15 +67,25 @@ class Model:
     intercept: float
 
     def table(self) -> np.ndarray:
-        out = np.full(1 << BITS, -1, np.int32)
-        out[self.buckets] = np.arange(len(self.buckets))
-        return out
+        return _table(self.buckets)
+
+
+def _table(buckets: np.ndarray) -> np.ndarray:
+    """The place of every bucket among the chosen ones, -1 for others."""
+    out = np.full(1 << BITS, -1, np.int32)
+    out[buckets] = np.arange(len(buckets))
+    return out
+
+
+def _constant(rate: float) -> Model:
+    rate = min(rate, UNTAUGHT)
+    return Model(np.zeros(0, np.int64), np.zeros(0), math.log(rate / (1 - rate)))
 
 
 def present(column, table: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature) pairs of the chosen buckets."""
     pairs = []
-    for bucket, text in grams(column):
+    for _, bucket, text in grams(column):
         feature = table[bucket]
         hit = feature >= 0
         pairs.append(np.unique(text[hit] * n + feature[hit]))
@@ -85,8 +99,11 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", PART):
             label = part.column("label").to_numpy(zero_copy_only=False)
-            for bucket, text in grams(part.column("text")):
-                both = np.unique((text << BITS) + bucket)
+            found: dict[int, list[np.ndarray]] = {n: [] for n in ORDERS}
+            for n, bucket, text in grams(part.column("text")):
+                found[n].append(np.unique((text << BITS) + bucket))
+            for pairs in found.values():
+                both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
                 for c in (0, 1):
                     mine = label[both >> BITS] == c
                     count[c] += np.bincount(both[mine] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
@@ -98,31 +115,52 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
 
 
-def _added(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, block = np.zeros(2 * BLOCK, np.int64), 0
-    for batch in group:
-        for row in batch.to_pylist():
-            block = row["block"]
-            total += np.frombuffer(pa.decompress(row["counts"], 8 * BLOCK, "zstd", asbytes=True), np.int32)
-    yield pa.RecordBatch.from_pylist(
-        [{"block": block, "counts": total.tobytes()}], pa.schema([("block", pa.int32()), ("counts", pa.binary())])
-    )
-
-
-def _features(batches: Iterator[pa.RecordBatch], table: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+def _chosen(texts: tuple[int, int]):
+    def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The buckets of a block whose rates differ, with their log-count ratios."""
+        count, block = np.zeros((2, BLOCK), np.int64), 0
+        for batch in group:
+            for row in batch.to_pylist():
+                block = row["block"]
+                count += np.frombuffer(pa.decompress(row["counts"], 8 * BLOCK, "zstd", asbytes=True), np.int32).reshape(2, BLOCK)
+        ratio = np.log((count[1] + 1) / (texts[1] + 2)) - np.log((count[0] + 1) / (texts[0] + 2))
+        pooled = count.sum(0) / sum(texts)
+        error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / texts[0] + 1 / texts[1]))
+        z = np.where(count.sum(0) >= 5, np.abs(count[1] / texts[1] - count[0] / texts[0]) / error, 0)
+        hit = np.flatnonzero(z > Z_LEAST)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((hit + block * BLOCK).astype(np.int32)), pa.array(z[hit]), pa.array(ratio[hit])], names=["bucket", "z", "ratio"]
+        )
+
+    return run
+
+
+def _features(batches: Iterator[pa.RecordBatch], buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    table = _table(buckets)
     for batch in batches:
         for part in slices(batch, "text", PART):
-            text, feature = present(part.column("text"), table, n)
+            text, feature = present(part.column("text"), table, len(buckets))
             each = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(each), pa.array(feature.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("label"), lists], names=["label", "features"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), lists], names=["doc_id", "label", "features"])
+
 
+def _fitted(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, n: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """One row with the weights and the intercept, from the features of the whole sample."""
+    rows = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("features", pa.list_(pa.int32()))]))
+    rows = rows.combine_chunks()
+    label, lists = rows["label"].to_numpy(), rows["features"].combine_chunks()
+    ends = lists.offsets.to_numpy()
+    share = np.where(label == 1, n[1] / (label == 1).sum(), n[0] / (label == 0).sum())  # undoes the sample's shares
+    w, b = _solve(lists.values.to_numpy()[ends[0] : ends[-1]], np.diff(ends), label, share, ratio)
+    yield pa.RecordBatch.from_arrays([pa.array([w * ratio], pa.list_(pa.float64())), pa.array([b])], names=["weights", "intercept"])
 
-def _solve(lists: list[np.ndarray], label: np.ndarray, share: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with L2 penalty on features r[j] where present, by limited-memory BFGS."""
-    n, m = len(lists), len(r)
-    size = np.fromiter(map(len, lists), np.int64, n)
-    row, col = np.repeat(np.arange(n), size), np.concatenate(lists)
+
+def _solve(col: np.ndarray, size: np.ndarray, label: np.ndarray, share: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with L2 penalty on features r[j] where present, by limited-memory BFGS;
+    `col` has the features of all rows joined, `size` their number in each row."""
+    n, m = len(size), len(r)
+    row = np.repeat(np.arange(n, dtype=np.int32), size)
     value = r[col]
     weight = share / share.mean()
 
@@ -165,44 +203,37 @@ def _solve(lists: list[np.ndarray], label: np.ndarray, share: np.ndarray, r: np.
 def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = SAMPLE_PER_CLASS) -> Model:
     """The model of labelled texts; docs has doc_id and text, labels has doc_id and label (0 or 1).
 
-    Rows with a null id or label are left out; a null text is empty.  Without both
-    classes the model is a constant, (n1 + 1) / (n + 2).
+    Rows with a null id or label are left out; a null text is empty.  Of several rows of
+    one id the text of the least hash is read; repeated labels count once.  Without both
+    classes, or where no gram tells them apart, the model is a constant: the rate of
+    label 1, (n1 + 1) / (n + 2), but 0.49 at most.
     """
     ship(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).distinct()
     n = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    untaught = _constant((n.get(1, 0) + 1) / (sum(n.values()) + 2))
     if n.get(0, 0) == 0 or n.get(1, 0) == 0:
-        share = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
-        return Model(np.zeros(0, np.int64), np.zeros(0), math.log(share / (1 - share)))
+        return untaught
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = [known.where(F.col("label") == c).orderBy(*order).limit(sample_per_class) for c in (0, 1)]
     sample = store(some[0].unionByName(some[1]), "sample")  # at most 2 x sample_per_class ids
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("label").cast("int"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    chosen = read.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label")
+    chosen = store(chosen.agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
+    texts = {r.label: r.n for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(texts) < 2:
+        return untaught
     counted = chosen.mapInArrow(_gram_counts, "block int, counts binary")
-    rows = counted.groupBy("block").applyInArrow(_added, "block int, counts binary").collect()  # 16 rows
-    count = np.zeros((2, 1 << BITS))
-    for x in rows:
-        count[:, x.block * BLOCK : (x.block + 1) * BLOCK] = np.frombuffer(x.counts, np.int64).reshape(2, BLOCK)
-    texts = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    rate = np.array([(count[c] + 1) / (texts[c] + 2) for c in (0, 1)])
-    ratio = np.log(rate[1] / rate[0])
-    pooled = count.sum(0) / (texts[0] + texts[1])
-    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / texts[0] + 1 / texts[1]))
-    z = np.where(count.sum(0) >= 5, np.abs(count[1] / texts[1] - count[0] / texts[0]) / error, 0)
-    buckets = np.sort(np.argsort(-z, kind="stable")[: min(MOST_FEATURES, int((z > Z_LEAST).sum()))])
-    table = Model(buckets, buckets, 0.0).table()
-    m = len(buckets)
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # 4 MB, whatever the corpus
-    found = chosen.mapInArrow(lambda b: _features(b, shared.value, m), "label int, features array<int>")
-    got = found.limit(4 * sample_per_class).toArrow().combine_chunks()  # an id may have several rows
-    label = got["label"].to_numpy()
-    lists = [x.values.to_numpy() for x in got["features"].combine_chunks()] if len(got) else []
-    if m == 0 or len(set(label.tolist())) < 2:
-        return Model(np.zeros(0, np.int64), np.zeros(0), math.log(n[1] / n[0]))
-    share = np.where(label == 1, n[1] / (label == 1).sum(), n[0] / (label == 0).sum())  # undoes the sample's shares
-    r = ratio[buckets]
-    w, b = _solve(lists, label, share, r)
-    return Model(buckets, w * r, b)
+    found = counted.groupBy("block").applyInArrow(_chosen((texts[0], texts[1])), "bucket int, z double, ratio double")
+    best = sorted(found.orderBy(F.desc("z"), "bucket").limit(MOST_FEATURES).select("bucket", "ratio").collect())
+    if not best:
+        return untaught
+    buckets, ratio = np.array([x.bucket for x in best]), np.array([x.ratio for x in best])
+    features = chosen.mapInArrow(lambda b: _features(b, buckets), "doc_id long, label int, features array<int>")
+    whole = features.repartition(1).sortWithinPartitions("doc_id", "label")  # the bounded sample, in one task
+    got = whole.mapInArrow(lambda b: _fitted(b, ratio, (n[0], n[1])), "weights array<double>, intercept double").first()
+    return Model(buckets, np.array(got.weights), got.intercept)
 
 
 def _scores(column, model: Model, table: np.ndarray) -> np.ndarray:
@@ -217,12 +248,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     No shuffle; repeated rows and null ids keep their rows; other columns are not read.
     """
     ship(docs.sparkSession)
-    table = docs.sparkSession.sparkContext.broadcast(model.table())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
         for batch in batches:
             for part in slices(batch, "text", PART):
-                found = _scores(part.column("text"), model, table.value)
+                found = _scores(part.column("text"), model, table)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
 
     read = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -230,16 +261,13 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose score is below `least`.  A model that learned no
-    feature tells no text from another and rejects none."""
-    if not len(model.buckets):
-        return docs
+    """The rows, with all their columns, whose score is below `least`."""
     ship(docs.sparkSession)
-    table = docs.sparkSession.sparkContext.broadcast(model.table())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
         for batch in batches:
             for part in slices(batch, text_col, PART):
-                yield part.filter(pa.array(_scores(part.column(text_col), model, table.value) < least))
+                yield part.filter(pa.array(_scores(part.column(text_col), model, table) < least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -87,7 +87,7 @@ def test_toxicity(spark):
 def test_toxicity_without_classes(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = toxicity.fit(df, spark.createDataFrame([], "doc_id long, label int"))
-    assert toxicity.score(df, none).first().score == pytest.approx(0.5)
+    assert toxicity.score(df, none).first().score == pytest.approx(toxicity.UNTAUGHT)
     one = toxicity.fit(df, spark.createDataFrame([(1, 0)], "doc_id long, label int"))
     assert toxicity.score(df, one).first().score == pytest.approx(1 / 3)
     assert toxicity.score(df.where("false"), one).collect() == []

@@ -9,6 +9,7 @@ import numpy as np
 from sessionloom.llm._bpe import text_buffers
 
 WORDS = 5
+WINDOW = 1 << 20  # bytes hashed at a time
 FACTOR = np.uint64(0x100000001B3)
 MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -39,13 +40,7 @@ def shingles(column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     begin = np.flatnonzero(first)
     if not len(begin):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    # a word's hash: its solid bytes up to the next word
-    step = np.arange(len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data))))[: len(data)] if begin[0] == 0 else None
-    if step is None:
-        gap = int(begin[0])
-        step = np.append(np.zeros(gap, np.int64), np.arange(gap, len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data)))))
-    value = np.where(solid[:-1], (data.astype(np.uint64) + np.uint64(1)) * _powers()[step & 4095], np.uint64(0))
-    word = mix(np.add.reduceat(value, begin))
+    word = _word_hashes(data, solid[:-1], begin)
     at = np.searchsorted(begin, offsets)  # of each text's first word
     count = np.diff(at)
     text = np.repeat(np.arange(n), count)
@@ -65,6 +60,20 @@ def shingles(column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(text, np.arange(n + 1))
 
 
+def _word_hashes(data: np.ndarray, solid: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A hash of the solid bytes from every word's beginning to the next one's, some bytes at a time."""
+    out, ends = np.empty(len(begin), np.uint64), np.append(begin, len(data))
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + WINDOW)))
+        a, z = int(ends[i]), int(ends[j])
+        step = np.arange(a, z) - np.repeat(begin[i:j], np.diff(ends[i : j + 1]))
+        value = np.where(solid[a:z], (data[a:z].astype(np.uint64) + np.uint64(1)) * _powers()[step & 4095], np.uint64(0))
+        out[i:j] = mix(np.add.reduceat(value, begin[i:j] - a))
+        i = j
+    return out
+
+
 def set_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """128 bits (two columns) that equal sets share; zero for empty sets."""
     out = np.zeros((len(offsets) - 1, 2), np.uint64)

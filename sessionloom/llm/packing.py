@@ -1,11 +1,14 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
 Pieces are dealt to groups of about GROUP_ITEMS by hash.  A group is packed best-fit
-decreasing; then documents are moved, or exchanged one for one or two for one, between
-underfull bins, each time raising the sum of squared fills, until bins empty.  A group
-stops at its lower bound, ceil(tokens / capacity).  What stays loose, the bins of a
-group that are emptiest, is pooled with other groups' and packed anew, until one group
-is left.
+decreasing; then underfull bins, emptiest first, give documents to fuller ones, by moves
+and by exchanges one for one, one for two or two for one, each of which raises the sum
+of squared fills and at least halves the room of the bin that gains.  Bits say which
+sizes, and sums of two sizes, the bins of every room hold, so all bins and all documents
+are offered whatever their number.  A group ends at its lower bound, ceil(tokens /
+capacity), or after a pass over all underfull bins that emptied none.  What stays loose,
+the bins of a group that are emptiest, is pooled with other groups' and packed anew,
+until one group is left.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ from sessionloom.llm._spark import schema_plus, ship, slices, store
 
 CAPACITY = 2048
 GROUP_ITEMS = 60_000
-EFFORT = 3_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -65,24 +67,27 @@ def cut_pieces(
 
 
 class Bins:
-    """Bins of one group, with the room left in each looked up by exact value."""
+    """Bins of one group, looked up by the room left and by the sizes that they hold."""
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
+    def __init__(self, capacity: int, size: list[int]):
+        self.capacity, self.size = capacity, size
         self.items: list[list[int]] = []
         self.room: list[int] = []
         self.by_room: list[set[int]] = [set() for _ in range(capacity + 1)]
         self.mask = 0  # bit r: some bin has room r
-        self.effort = 0  # exchanges that may still be compared
+        self.sums: list[tuple[int, int] | None] = []  # of a bin: bits of its sizes, and of the sums of two
+        self.held: dict[int, tuple[int, int]] = {}  # the same of all bins with a room
 
     def _enter(self, b: int) -> None:
         r = self.room[b]
         self.by_room[r].add(b)
         self.mask |= 1 << r
+        self.held.pop(r, None)
 
     def _leave(self, b: int) -> None:
         r = self.room[b]
         self.by_room[r].discard(b)
+        self.held.pop(r, None)
         if not self.by_room[r]:
             self.mask &= ~(1 << r)
 
@@ -91,111 +96,148 @@ class Bins:
         above = self.mask >> size
         return size + (above & -above).bit_length() - 1 if above else None
 
-    def add(self, size: int, item: int) -> None:
-        r = self.least(size)
+    def sums_of(self, b: int) -> tuple[int, int]:
+        if self.sums[b] is None:
+            one = two = 0
+            for x in self.items[b]:
+                two |= one << self.size[x]
+                one |= 1 << self.size[x]
+            self.sums[b] = one, two
+        return self.sums[b]
+
+    def sums_at(self, room: int) -> tuple[int, int]:
+        if room not in self.held:
+            one = two = 0
+            for b in self.by_room[room]:
+                x, y = self.sums_of(b)
+                one, two = one | x, two | y
+            self.held[room] = one, two
+        return self.held[room]
+
+    def add(self, item: int) -> None:
+        r = self.least(self.size[item])
         if r is None:
             self.items.append([])
             self.room.append(self.capacity)
+            self.sums.append(None)
             b = len(self.room) - 1
         else:
             b = next(iter(self.by_room[r]))
             self._leave(b)
         self.items[b].append(item)
-        self.room[b] -= size
+        self.room[b] -= self.size[item]
+        self.sums[b] = None
         self._enter(b)
 
-    def change(self, b: int, out: list[int], into: list[int], size: np.ndarray) -> None:
+    def change(self, b: int, out: list[int], into: list[int]) -> None:
         self._leave(b)
         for x in out:
             self.items[b].remove(x)
         self.items[b] += into
-        self.room[b] += int(sum(size[x] for x in out) - sum(size[x] for x in into))
+        self.room[b] += sum(self.size[x] for x in out) - sum(self.size[x] for x in into)
+        self.sums[b] = None
         self._enter(b)
 
-
-def pack(size: np.ndarray, capacity: int = CAPACITY, effort: int = EFFORT) -> list[list[int]]:
-    """Bins (lists of item numbers) for items of 1 to `capacity` tokens; the search ends at
-    the lower bound, when no exchange helps, or after comparing `effort` exchanges."""
-    bins = Bins(capacity)
-    bins.effort = effort
+    def close(self, b: int) -> None:
+        """An empty bin goes; the last one takes its number."""
+        self._leave(b)
+        last = len(self.room) - 1
+        if b != last:
+            self._leave(last)
+            self.items[b], self.room[b], self.sums[b] = self.items[last], self.room[last], self.sums[last]
+            self._enter(b)
+        for x in (self.items, self.room, self.sums):
+            x.pop()
+
+    def pick(self, b: int, total: int, two: bool) -> list[int]:
+        """One document of a bin, or two, of `total` tokens."""
+        if not two:
+            return [next(x for x in self.items[b] if self.size[x] == total)]
+        seen: dict[int, int] = {}
+        for x in self.items[b]:
+            if total - self.size[x] in seen:
+                return [seen[total - self.size[x]], x]
+            seen[self.size[x]] = x
+        raise AssertionError("no two documents of that size")
+
+
+def pack(size: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
+    """Bins (lists of item numbers) for items of 1 to `capacity` tokens."""
+    bins = Bins(capacity, size.tolist())
     for i in np.argsort(-size, kind="stable").tolist():
-        bins.add(int(size[i]), i)
+        bins.add(i)
     bound = math.ceil(int(size.sum()) / capacity)
-    while len(bins.room) > bound and bins.effort > 0 and _improve(bins, size):
-        pass
-    return [x for x in bins.items if x]
-
-
-def _improve(bins: Bins, size: np.ndarray) -> bool:
-    """Empty the emptiest bin into underfull ones as far as moves and exchanges go."""
-    target = max(range(len(bins.room)), key=bins.room.__getitem__)
-    gained = False
-    while bins.items[target]:
-        if not _move(bins, target, size) and not _exchange(bins, target, size):
-            if gained:
-                return True
-            # other bins may exchange with each other, and so make room
-            donors = sorted((b for b in range(len(bins.room)) if bins.room[b] and b != target), key=lambda b: -bins.room[b])
-            return any(bins.effort > 0 and _exchange(bins, b, size) for b in donors)
-        gained = True
-    bins._leave(target)
-    last = len(bins.room) - 1
-    if target != last:
-        bins._leave(last)
-        bins.items[target], bins.room[target] = bins.items[last], bins.room[last]
-        bins._enter(target)
-    bins.items.pop()
-    bins.room.pop()
-    return True
-
-
-def _move(bins: Bins, target: int, size: np.ndarray) -> bool:
-    """One document of the target to the fullest other bin that holds it."""
-    bins._leave(target)
+    before = len(bins.room) + 1
+    while bound < len(bins.room) < before:
+        before = len(bins.room)
+        _pass(bins, bound)
+    return bins.items
+
+
+def _pass(bins: Bins, bound: int) -> None:
+    """Every underfull bin, emptiest first, gives what raises the squared fills."""
+    for b in sorted(range(len(bins.room)), key=lambda x: -bins.room[x]):
+        while b < len(bins.room) and bins.room[b] and (_move(bins, b) or _exchange(bins, b)):
+            if not bins.items[b]:
+                bins.close(b)
+                if len(bins.room) <= bound:
+                    return
+                break
+
+
+def _move(bins: Bins, giver: int) -> bool:
+    """The largest document that fits goes to the fullest other bin that holds it, if that is the fuller of the two."""
+    bins._leave(giver)
     found = None
-    for x in sorted(bins.items[target], key=lambda i: -size[i]):
-        r = bins.least(int(size[x]))
-        if r is not None:
+    for x in sorted(bins.items[giver], key=lambda i: -bins.size[i]):
+        r = bins.least(bins.size[x])
+        if r is not None and r - bins.size[x] < bins.room[giver]:
             found = x, next(iter(bins.by_room[r]))
             break
-    bins._enter(target)
+    bins._enter(giver)
     if found is None:
         return False
-    bins.change(target, [found[0]], [], size)
-    bins.change(found[1], [], [found[0]], size)
+    bins.change(giver, [found[0]], [])
+    bins.change(found[1], [], [found[0]])
     return True
 
 
-def _exchange(bins: Bins, target: int, size: np.ndarray) -> bool:
-    """A document of the target for one or two smaller ones of an underfull bin, or two
-    for one: what fills that bin most, so that the squared fills grow."""
-    own = bins.items[target]
-    best = None
-    underfull = [b for r in range(1, bins.capacity + 1) if bins.mask >> r & 1 for b in bins.by_room[r] if b != target]
-    offers = [([x], int(size[x])) for x in own] + [
-        ([x, y], int(size[x] + size[y])) for i, x in enumerate(own[:12]) for y in own[:i]
-    ]
-    for b in underfull:
-        room, other = bins.room[b], bins.items[b]
-        asks = [([y], int(size[y])) for y in other]
-        asks += [([y, z], int(size[y] + size[z])) for i, y in enumerate(other[:12]) for z in other[:i]]
-        bins.effort -= len(offers) * len(asks)
-        for give, g in offers:
-            for take, t in asks:
-                gain = g - t
-                if 0 < gain <= room and (len(give) == 1 or len(take) == 1):
-                    # squared fills: the fuller bin gains, the target loses
-                    rise = (bins.capacity - room + gain) ** 2 - (bins.capacity - room) ** 2
-                    fall = (bins.capacity - bins.room[target]) ** 2 - (bins.capacity - bins.room[target] - gain) ** 2
-                    if rise > fall and (best is None or gain > best[0]):
-                        best = gain, b, give, take
-        if bins.effort < 0 or best is not None and best[0] == room:
-            break
+def _bits(mask: int) -> list[int]:
+    out = []
+    while mask:
+        out.append((mask & -mask).bit_length() - 1)
+        mask &= mask - 1
+    return out
+
+
+def _exchange(bins: Bins, giver: int) -> bool:
+    """The exchange with a bin at least as full that fills it most: a document for one or two smaller ones, or two for one."""
+    one, two = (_bits(x) for x in bins.sums_of(giver))
+    bins._leave(giver)
+    rooms = bins.mask & ((2 << bins.room[giver]) - 2)
+    most, best = 0, None
+    while rooms and rooms.bit_length() - 1 > most:
+        r = rooms.bit_length() - 1
+        rooms ^= 1 << r
+        singles, pairs = bins.sums_at(r)
+        for gives, takes, kind in ((one, singles, (False, False)), (one, pairs, (False, True)), (two, singles, (True, False))):
+            for x in gives:
+                low, high = max(x - r, 0), x - (r + 1) // 2  # what is taken back, so that half of the room is filled
+                fits = (takes >> low) & ((2 << (high - low)) - 1) if high >= low else 0
+                if fits:
+                    y = low + (fits & -fits).bit_length() - 1
+                    if x - y > most:
+                        most, best = x - y, (r, x, y, kind)
+            if most == r:
+                break
+    bins._enter(giver)
     if best is None:
         return False
-    _, b, give, take = best
-    bins.change(target, give, take, size)
-    bins.change(b, take, give, size)
+    r, x, y, (gives_two, takes_two) = best
+    taker = next(b for b in bins.by_room[r] if b != giver and bins.sums_of(b)[takes_two] >> y & 1)
+    give, take = bins.pick(giver, x, gives_two), bins.pick(taker, y, takes_two)
+    bins.change(giver, give, take)
+    bins.change(taker, take, give)
     return True
 
 
@@ -235,7 +277,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, group_items: int
     names = [c for c in kept.columns]
     while count:
         groups = max(1, math.ceil(count / group_items))
-        salt = F.xxhash64(*names, F.lit(level))
+        salt = F.xxhash64(F.monotonically_increasing_id(), F.lit(level))  # by place: equal pieces go to all groups
         dealt = rest.withColumn("group", F.pmod(salt, F.lit(groups)).cast("long"))
         packed = store(dealt.groupBy("group").applyInPandas(_pack_group(capacity, groups == 1), schema), "packed")
         number = F.lit(level) * F.lit(1 << 56) + F.col("group") * F.lit(1 << 24) + F.col("bin")

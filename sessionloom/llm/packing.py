@@ -6,9 +6,9 @@ and by exchanges one for one, one for two or two for one, each of which raises t
 of squared fills and at least halves the room of the bin that gains.  Bits say which
 sizes, and sums of two sizes, the bins of every room hold, so all bins and all documents
 are offered whatever their number.  A group ends at its lower bound, ceil(tokens /
-capacity), or after a pass over all underfull bins that emptied none.  What stays loose,
-the bins of a group that are emptiest, is pooled with other groups' and packed anew,
-until one group is left.
+capacity), or after two passes over all underfull bins that emptied none.  What stays
+loose, the bins of a group that are emptiest, is pooled with other groups' and packed
+anew, until one group is left.
 """
 
 from __future__ import annotations
@@ -167,22 +167,27 @@ def pack(size: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     for i in np.argsort(-size, kind="stable").tolist():
         bins.add(i)
     bound = math.ceil(int(size.sum()) / capacity)
-    before = len(bins.room) + 1
-    while bound < len(bins.room) < before:
+    idle = 0
+    while len(bins.room) > bound and idle < 2:
         before = len(bins.room)
-        _pass(bins, bound)
+        if not _pass(bins, bound):
+            break
+        idle = idle + 1 if len(bins.room) == before else 0
     return bins.items
 
 
-def _pass(bins: Bins, bound: int) -> None:
-    """Every underfull bin, emptiest first, gives what raises the squared fills."""
+def _pass(bins: Bins, bound: int) -> bool:
+    """Every underfull bin, emptiest first, gives what raises the squared fills; whether any did."""
+    changed = False
     for b in sorted(range(len(bins.room)), key=lambda x: -bins.room[x]):
         while b < len(bins.room) and bins.room[b] and (_move(bins, b) or _exchange(bins, b)):
+            changed = True
             if not bins.items[b]:
                 bins.close(b)
                 if len(bins.room) <= bound:
-                    return
+                    return True
                 break
+    return changed
 
 
 def _move(bins: Bins, giver: int) -> bool:

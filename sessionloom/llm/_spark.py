@@ -52,8 +52,9 @@ def discard(*tables: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The size that the optimizer expects of a table, without reading it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The size that the optimizer expects of a table, without reading it; 0 if it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 56 else 0
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a table of distinct words.
 
 1.  Whole documents are gathered into chunks of about `CHUNK_BYTES` of text; a
-    chunk's key is a hash of its texts.
+    chunk's key is a hash of its texts, and its place.
 2.  Each chunk gives its distinct words, in lists by hash bucket.  A bucket's lists
     meet in one task, which encodes each distinct word of the corpus once and sends
     every list's ids back to its chunk.
@@ -9,9 +9,10 @@
 4.  Decoding joins ids with the pieces of the vocabulary (a fixed table) and joins
     the pieces' bytes.
 
-A word comes once from a chunk at most, so no bucket grows with a hot word; there are
-as many buckets as four times the shuffle partitions.  Lists and texts travel
-compressed, as the texts would else be the largest part of the shuffle.
+A word comes once from a chunk at most, so no bucket grows with a hot word; there is a
+bucket for every BUCKET_BYTES of the table, and its lists are read one after another.
+Lists and texts travel compressed, as the texts would else be the largest part of the
+shuffle.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sessionloom.llm import _bpe
-from sessionloom.llm._chunks import chunks, packed, squeeze, unpacked, unsqueeze
-from sessionloom.llm._spark import partitions, schema_plus, ship, slices
+from sessionloom.llm._chunks import buckets_for, keyed, packed, squeeze, unpacked, unsqueeze
+from sessionloom.llm._spark import schema_plus, ship, slices
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 1 << 30
 
 
 def _bounds(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +54,7 @@ def _bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
 
 def _words(path: str, size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, table in chunks(batches, size):
+        for key, table in keyed(batches, size):
             words, _, _ = _bpe.distinct_words(table["text"], path)
             data, first, length = _bounds(words)
             bucket = _bucket_of(words, buckets)
@@ -159,7 +160,7 @@ def encode_documents(
     """
     ship(docs.sparkSession)
     read = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    buckets = 4 * partitions(docs.sparkSession)
+    buckets = buckets_for(read, BUCKET_BYTES)
     words = read.mapInArrow(_words(path, chunk_bytes, buckets), "bucket int, chunk binary, words binary")
     ids = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "chunk binary, bucket int, ids binary")
     texts = read.mapInArrow(packed(chunk_bytes), "chunk binary, packed binary")

@@ -1,14 +1,15 @@
 """Exact top-k inner products by vector-approximation files.
 
-Vectors are written in blocks of two columns: cells (one byte a component, of
-`CELLS` equal steps between the block's smallest and largest value) and the exact
-integers.  A first scan reads cells alone and bounds every score from both sides; a
-query's k-th highest lower bound over all blocks is its threshold.  The second scan
-takes the candidates whose upper bound reaches it, and reads exact vectors in order
-of their bounds until no candidate left can enter the k best.
-
-Queries come in blocks too; a block of queries meets a group of data blocks in one
-task.  That is the stated query set against all rows, in blocks.
+Vectors are written in blocks of cells: one byte a component, of `CELLS` equal steps
+between the block's smallest and largest value.  A first scan of the cells bounds every
+score from both sides; a query's k-th highest lower bound over all blocks is its
+threshold.  A second scan takes the candidates whose upper bound reaches it.  Exact
+vectors are joined to candidates alone, in order of their bounds: first the 2k highest of
+a query, and of the others those that its k-th exact score does not rule out.
+
+Groups of query blocks meet groups of data blocks, some ten thousand rows each, so cells
+are sent once for each QUERY_GROUP blocks of queries and never with their exact vectors.
+That is the stated query set against all rows, in blocks.
 """
 
 from __future__ import annotations
@@ -21,40 +22,45 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm._spark import ship, store
+from sessionloom.llm._spark import partitions, ship, store
 
-CELLS = 32
-BLOCK, QUERY_BLOCK, GROUP = 4096, 1024, 16
-PACKED = "block long, dim int, n int, rows binary, ids binary, low binary, step binary, cells binary, exact binary"
+CELLS = 256
+BLOCK, QUERY_BLOCK, GROUP, QUERY_GROUP = 4096, 1024, 16, 16
+EXACT = 1 << 53  # scores up to here are exact in double precision
+CELL_ROWS = "block long, dim int, n int, rows binary, low binary, step binary, cells binary"
+QUERY_ROWS = "block long, dim int, n int, rows binary, exact binary, names array<long>"
 
 
-def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], most: int, queries: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks of `most` vectors of one length: cells, or the exact integers of queries."""
     held: dict[int, list] = {}
     made = 0
 
     def emit(dim: int) -> pa.RecordBatch:
         nonlocal made
         rows = held.pop(dim)
-        own = np.array([r[0] for r in rows], "<i8")
-        ids = np.array([r[1] for r in rows], "<i8")
-        exact = np.array([r[2] for r in rows], "<i8").reshape(len(rows), dim)
-        low = exact.min(0).astype("<i8") if dim else exact[:1]
-        step = np.maximum(1, -(-(exact.max(0) - low + 1) // CELLS)) if dim else low
-        cells = ((exact - low) // step).astype(np.uint8)
+        own = np.array([r for r, _ in rows], "<i8")
+        exact = np.array([v for _, v in rows], "<i8").reshape(len(rows), dim)
         block = (TaskContext.get().partitionId() << 32) + made
         made += 1
-        parts = [x.tobytes() for x in (own, ids, low, step.astype("<i8"), cells, exact)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([block]), pa.array([dim], pa.int32()), pa.array([len(rows)], pa.int32()), *[pa.array([x], pa.binary()) for x in parts]],
-            names=["block", "dim", "n", "rows", "ids", "low", "step", "cells", "exact"],
-        )
+        parts = {"rows": own}
+        if queries:
+            parts["exact"] = exact
+        else:
+            low = exact.min(0).astype("<i8")
+            step = np.maximum(1, -(-(exact.max(0) - low + 1) // CELLS)).astype("<i8")
+            parts |= {"low": low, "step": step, "cells": ((exact - low) // step).astype(np.uint8)}
+        columns = {"block": pa.array([block]), "dim": pa.array([dim], pa.int32()), "n": pa.array([len(rows)], pa.int32())}
+        columns |= {name: pa.array([x.tobytes()], pa.binary()) for name, x in parts.items()}
+        if queries:
+            columns["names"] = pa.array([own.tolist()], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     for batch in batches:
-        row_ids, vec_ids = batch.column("row").to_pylist(), batch.column("vec_id").to_pylist()
-        for r, i, v in zip(row_ids, vec_ids, batch.column("whole")):
+        for r, v in zip(batch.column("row").to_pylist(), batch.column("whole")):
             values = v.values.to_numpy(zero_copy_only=False)
             rows = held.setdefault(len(values), [])
-            rows.append((r, i, values))
+            rows.append((r, values))
             if len(rows) >= most:
                 yield emit(len(values))
     for dim in list(held):
@@ -65,14 +71,12 @@ def _matrix(data: bytes, kind: str, n: int, dim: int) -> np.ndarray:
     return np.frombuffer(data, kind).reshape(n, dim)
 
 
-def _bounds(query: np.ndarray, row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of query x vector scores, from cells alone."""
+def _middle(query: np.ndarray, row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Scores with the middles of cells, and how far a query's exact scores may be from them."""
     low, step = np.frombuffer(row["low"], "<i8"), np.frombuffer(row["step"], "<i8")
-    least = low + _matrix(row["cells"], "u1", row["n"], row["dim"]).astype(np.int64) * step
-    most = least + step - 1
-    plus, minus = np.maximum(query, 0).astype(float), np.minimum(query, 0).astype(float)
-    least, most = least.astype(float).T, most.astype(float).T
-    return plus @ least + minus @ most, plus @ most + minus @ least
+    half = (step - 1) / 2
+    middle = low + _matrix(row["cells"], "u1", row["n"], row["dim"]) * step + half
+    return query @ middle.T, np.abs(query) @ half
 
 
 def _no_self(scores: np.ndarray, row: dict, query: dict) -> None:
@@ -87,23 +91,23 @@ def _no_self(scores: np.ndarray, row: dict, query: dict) -> None:
 
 def _thresholds(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query": [], "row": [], "bounds": []}
+        out = {"query": [], "bounds": []}
+        data = left.to_pylist()
         for query in right.to_pylist():
-            values = _matrix(query["exact"], "<i8", query["n"], query["dim"])
+            values = _matrix(query["exact"], "<i8", query["n"], query["dim"]).astype(float)
             best = np.zeros((query["n"], 0))
-            for row in left.to_pylist():
+            for row in data:
                 if row["dim"] == query["dim"]:
-                    lower, _ = _bounds(values, row)
-                    _no_self(lower, row, query)
-                    best = _highest(np.hstack([best, lower]), k)
-            for i in range(query["n"]):
-                found = best[i][np.isfinite(best[i])]
+                    score, off = _middle(values, row)
+                    score -= off[:, None]
+                    _no_self(score, row, query)
+                    best = _highest(np.hstack([best, score]), k)
+            for name, found in zip(np.frombuffer(query["rows"], "<i8").tolist(), best):
+                found = found[np.isfinite(found)]
                 if len(found):
-                    out["query"].append(query["query"])
-                    out["row"].append(i)
+                    out["query"].append(name)
                     out["bounds"].append(found)
-        kinds = (pa.int64(), pa.int32(), pa.list_(pa.float64()))
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.list_(pa.float64())))], names=list(out))
 
     return run
 
@@ -112,49 +116,25 @@ def _highest(scores: np.ndarray, k: int) -> np.ndarray:
     return scores if scores.shape[1] <= k else -np.partition(-scores, k - 1, axis=1)[:, :k]
 
 
-def _search(k: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query": [], "row": [], "query_id": [], "vec_id": [], "score": []}
-        for query in right.to_pylist():
-            values = _matrix(query["exact"], "<i8", query["n"], query["dim"])
-            needed = np.full(query["n"], -np.inf)
-            for t in query["thresholds"] or ():
-                needed[t["row"]] = t["least"]
-            names = np.frombuffer(query["ids"], "<i8")
-            for row in left.to_pylist():
-                if row["dim"] != query["dim"]:
-                    continue
-                _, upper = _bounds(values, row)
-                _no_self(upper, row, query)
-                exact, ids = _matrix(row["exact"], "<i8", row["n"], row["dim"]), np.frombuffer(row["ids"], "<i8")
-                for i in range(query["n"]):
-                    close = np.flatnonzero((upper[i] >= needed[i]) & np.isfinite(upper[i]))
-                    found, scores = _refine(values[i], exact, ids, close, upper[i], k)
-                    keep = scores >= needed[i]
-                    found, scores = found[keep], scores[keep]
-                    out["query"] += [query["query"]] * len(found)
-                    out["row"] += [i] * len(found)
-                    out["query_id"] += [int(names[i])] * len(found)
-                    out["vec_id"] += ids[found].tolist()
-                    out["score"] += scores.tolist()
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
-
-    return run
-
-
-def _refine(query, exact, ids, close, upper, k):
-    """The k best of the candidates (ties to smaller ids), reading by falling upper bound."""
-    close = close[np.argsort(-upper[close], kind="stable")]
-    rows, scores = close[:0], np.zeros(0, np.int64)
-    for a in range(0, len(close), 64):
-        if len(rows) == k and upper[close[a]] < scores[-1]:
-            break  # the k-th is certain
-        more = close[a : a + 64]
-        rows, scores = np.append(rows, more), np.append(scores, exact[more] @ query)
-        order = np.lexsort((ids[rows], -scores))[:k]
-        rows, scores = rows[order], scores[order]
-    return rows, scores
+def _candidates(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(query, row, upper) of all whose upper bound reaches the query's threshold."""
+    out = [pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query", "row", "upper"])]
+    data = left.to_pylist()
+    for query in right.to_pylist():
+        values = _matrix(query["exact"], "<i8", query["n"], query["dim"]).astype(float)
+        names = np.frombuffer(query["rows"], "<i8")
+        known = {t["query"]: t["least"] for t in query["thresholds"] or ()}
+        needed = np.array([known.get(x, -np.inf) for x in names.tolist()])
+        for row in data:
+            if row["dim"] != query["dim"]:
+                continue
+            upper, off = _middle(values, row)
+            upper += off[:, None]
+            _no_self(upper, row, query)
+            q, r = np.nonzero((upper >= needed[:, None]) & np.isfinite(upper))
+            rows = np.frombuffer(row["rows"], "<i8")
+            out.append(pa.table([pa.array(names[q]), pa.array(rows[r]), pa.array(upper[q, r])], names=out[0].column_names))
+    return pa.concat_tables(out)
 
 
 def quantise(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -175,47 +155,60 @@ def top_k(
     id, null ones and those that hold nulls, NaN or infinities take no part; vectors of
     another length than the query's are no candidates.  Rows with an id in common are
     separate: each such query row has its own k results and its twin as a candidate.
-    Components and scores must stay within 2^53.  No rows, or no query, give none.
+    Components so large that scores may pass 2^53 are an error.  No rows, or no query,
+    give none.
     """
     spark = vectors.sparkSession
     ship(spark)
     whole = quantise(vectors, scale, id_col, vector_col)
     whole = store(whole.withColumn("row", F.monotonically_increasing_id()), "whole")
-    blocks, groups = _blocks(whole, BLOCK, "cells")
-    queries, n = _blocks(whole.where(is_query), QUERY_BLOCK, "queries")
-    groups = -(-groups // GROUP)
-    numbers = [r.block for r in queries.select("block").orderBy("block").collect()]  # one for 1,024 queries
-    known = spark.createDataFrame(list(enumerate(numbers)), "query long, block long")
-    asked = queries.join(F.broadcast(known), "block").select("query", "dim", "n", "rows", "ids", "exact")
-    each_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
-    each_query = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, len(numbers) - 1)).cast("long"))).alias("query")
-    grouped = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-
-    cells = grouped.select(each_query, "group", "dim", "n", "rows", "low", "step", "cells")
-    first = (
-        cells.groupBy("query", "group")
-        .cogroup(asked.select("*", each_group).groupBy("query", "group"))
-        .applyInArrow(_thresholds(k), "query long, row int, bounds array<double>")
-    )
+    largest = F.max(F.greatest(F.abs(F.array_max("whole")), F.abs(F.array_min("whole")))).alias("x")
+    most = whole.where(F.size("whole") > 0).agg(largest, F.max(F.size("whole")).alias("dim")).first()
+    if most.x is not None and most.dim * most.x**2 > EXACT:
+        raise ValueError("components are too large for exact scores")
+    data, n_data = _blocks(whole, BLOCK, False)
+    queries, n_queries = _blocks(whole.where(is_query), QUERY_BLOCK, True)
+    groups = max(-(-n_data // GROUP), min(n_data, partitions(spark)))
+    asking = -(-n_queries // QUERY_GROUP)
+
+    def dealt(blocks: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        """Each block once for every group of the other side."""
+        each = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
+        return blocks.select("*", F.pmod(F.xxhash64("block"), F.lit(n_own)).cast("int").alias(own), each)
+
+    cells = dealt(data, "data", groups, "queries", asking).groupBy("queries", "data")
+    asked = dealt(queries.drop("names"), "queries", asking, "data", groups).groupBy("queries", "data")
+    first = cells.cogroup(asked).applyInArrow(_thresholds(k), "query long, bounds array<double>")
     best = F.sort_array(F.flatten(F.collect_list("bounds")), asc=False)
     least = F.coalesce(F.try_element_at(best, F.lit(k)), F.lit(float("-inf")))
-    needed = first.groupBy("query", "row").agg(least.alias("least"))
-    needed = store(needed.groupBy("query").agg(F.collect_list(F.struct("row", "least")).alias("thresholds")), "needed")
-
-    exact = grouped.select(each_query, "group", "dim", "n", "rows", "ids", "low", "step", "cells", "exact")
-    found = (
-        exact.groupBy("query", "group")
-        .cogroup(asked.join(needed, "query", "left").select("*", each_group).groupBy("query", "group"))
-        .applyInArrow(_search(k), "query long, row int, query_id long, vec_id long, score long")
-    )
-    order = Window.partitionBy("query", "row").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
-
-
-def _blocks(whole: DataFrame, most: int, label: str) -> tuple[DataFrame, int]:
+    needed = store(first.groupBy("query").agg(least.alias("least")), "needed")
+    names = queries.select("block", F.explode("names").alias("query"))
+    told = names.join(needed, "query").groupBy("block").agg(F.collect_list(F.struct("query", "least")).alias("thresholds"))
+
+    asked = dealt(queries.drop("names").join(told, "block", "left"), "queries", asking, "data", groups).groupBy("queries", "data")
+    close = cells.cogroup(asked).applyInArrow(_candidates, "query long, row long, upper double")
+    order = Window.partitionBy("query").orderBy(F.desc("upper"), "row")
+    close = store(close.withColumn("place", F.row_number().over(order)), "close")
+
+    one = _scored(close.where(F.col("place") <= 2 * k), whole)
+    high = F.sort_array(F.collect_list("score"), asc=False)
+    kth = one.groupBy("query").agg(F.try_element_at(high, F.lit(k)).alias("kth"))
+    open_ = close.where(F.col("place") > 2 * k).join(kth, "query").where(F.col("upper") >= F.col("kth"))
+    found = one.unionByName(_scored(open_, whole))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _scored(close: DataFrame, whole: DataFrame) -> DataFrame:
+    """Candidates with their exact scores."""
+    q = whole.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("whole").alias("v"))
+    both = close.select("query", "row").join(q, "query").join(whole, "row")
+    score = F.aggregate(F.zip_with("v", "whole", lambda x, y: x * y), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return both.select("query", "query_id", "vec_id", score.alias("score"))
+
+
+def _blocks(whole: DataFrame, most: int, queries: bool) -> tuple[DataFrame, int]:
     n = max(1, -(-whole.count() // most))
-    return store(whole.repartition(n).mapInArrow(lambda b: _pack(b, most), PACKED), label), n
+    kinds = QUERY_ROWS if queries else CELL_ROWS
+    return store(whole.repartition(n).mapInArrow(lambda b: _pack(b, most, queries), kinds), "queries" if queries else "cells"), n

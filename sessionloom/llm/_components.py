@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm._spark import store
+from sessionloom.llm._spark import discard, store
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -16,7 +16,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = both.select(F.col("u").alias("node")).unionByName(both.select(F.col("v").alias("node"))).distinct()
-    now = _stored(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = store(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
         out = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,13 +27,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = large.join(low, "u")
         small = small.select("v", F.col("m")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = _stored(small)
-        state = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)).alias("h")).first()
+        last, now = now, store(small, "edges")
+        discard(last)
+        one, two = F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftrightunsigned(F.xxhash64("v", "u"), 40))
+        state = now.agg(F.count("*").alias("n"), one.alias("one"), two.alias("two")).first()
         if state == before:
             break
         before = state
     return nodes.join(now.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("root"))
-
-
-def _stored(edges: DataFrame) -> DataFrame:
-    return store(edges, "edges")

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm._components import components
@@ -89,16 +89,16 @@ def _each_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
             yield table.slice(a, b - a)
 
 
-def _codes(batches: Iterator[pa.RecordBatch], first: int, last: int, bits: dict[int, int]) -> Iterator[pa.RecordBatch]:
+def _codes(batches: Iterator[pa.RecordBatch], first: int, last: int) -> Iterator[pa.RecordBatch]:
     """(label, table, code, node, group, unit): a vector's cells."""
     for batch in batches:
         units = batch.column("unit").to_pylist()
         size = np.fromiter(map(len, units), np.int64, len(units))
-        labels = batch.column("label").to_numpy()
+        labels, bits = batch.column("label").to_numpy(), batch.column("bits").to_numpy()
         for dim in np.unique(size).tolist():
             mine = np.flatnonzero(size == dim)
             x = np.frombuffer(b"".join(units[i] for i in mine), "<f4").reshape(len(mine), -1)
-            width = np.array([bits.get(int(v), 0) for v in labels[mine]])
+            width = bits[mine]
             for t in range(first, last):
                 planes = np.random.default_rng([t, x.shape[1]]).standard_normal((x.shape[1], 30)).astype(np.float32)
                 sides = (x @ planes > 0).astype(np.int64)
@@ -172,10 +172,10 @@ def _lists(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _first_lists(vectors: DataFrame, first: int, last: int, k: int) -> DataFrame:
-    counts = {r.label: r.n for r in vectors.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row per label
-    bits = {int(v): min(30, max(0, round(math.log2(n / CELL)))) for v, n in counts.items()}
-    cells = vectors.select("label", "node", "group", "unit").mapInArrow(
-        lambda b: _codes(b, first, last, bits), "label long, table int, code long, node long, group long, unit binary"
+    bits = F.round(F.log2(F.count("*") / CELL)).cast("int")
+    counts = vectors.groupBy("label").agg(F.least(F.greatest(bits, F.lit(0)), F.lit(30)).alias("bits"))
+    cells = vectors.join(counts, "label").select("label", "bits", "node", "group", "unit").mapInArrow(
+        lambda b: _codes(b, first, last), "label long, table int, code long, node long, group long, unit binary"
     )
     cells = store(cells, "cells")
     keys = ["label", "table", "code"]
@@ -254,7 +254,7 @@ def _linked_outside(
         part = single.join(full, "node").join(roots.select("node", F.col("root").alias("group")), "node")
         part = store(part.select("node", "label", "group", "unit"), "saturated")
         several = part.groupBy("label").agg(F.count_distinct("group").alias("n")).where("n > 1").select("label")
-        part = part.join(F.broadcast(several), "label", "left_semi")
+        part = part.join(several, "label", "left_semi")
         if part.isEmpty():
             return close, roots
         lists = _descended(part, None, known.join(part.select("node"), "node", "left_semi"), first, tables, k)
@@ -364,11 +364,9 @@ def similar_vectors(
         if recall >= RECALL:
             break
     else:
-        kinds = Window.orderBy("label", "length")
-        kind = single.groupBy("label", F.octet_length("unit").alias("length")).count()  # a row per label and length
-        kind = kind.withColumn("root", F.row_number().over(kinds).cast("long"))
         all_ = single.select("node", "label", F.octet_length("unit").alias("length"))
-        roots = store(all_.join(F.broadcast(kind), ["label", "length"]).select("node", "root"), "roots")
+        kind = all_.groupBy("label", "length").agg(F.min("node").alias("root"))
+        roots = store(all_.join(kind, ["label", "length"]).select("node", "root"), "roots")
     linked = store(_exact_links(roots, classes, threshold), "linked")
     final = components(linked, "node", "root")
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -205,6 +206,43 @@ def distinct_words(column, path: str) -> tuple[pa.Array, np.ndarray, np.ndarray]
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), words_per_text(starts, offsets)
 
 
+def cut_long(column, path: str, most: int = 2 << 20) -> tuple[pa.Array, np.ndarray]:
+    """(texts, those above twice `most` bytes in parts cut where words end; the first part of each text).
+
+    A cut is made before a single space between two ASCII letters, which starts a word whatever
+    surrounds it.  Without such places, or with special tokens that hold a space, a text stays whole.
+    """
+    data, offsets = text_buffers(column)
+    n = len(offsets) - 1
+    long = np.flatnonzero(np.diff(offsets) > 2 * most)
+    cuts = [offsets[:-1]]
+    for i in long.tolist() if not any(b" " in t for t in specials(path)) else ():
+        at, end = int(offsets[i]) + most, int(offsets[i + 1])
+        while at < end - most:
+            part = data[at - 1 : min(at + most, end)]
+            letter = ((part | 0x20) >= 0x61) & ((part | 0x20) <= 0x7A)
+            found = np.flatnonzero((part[1:-1] == 0x20) & letter[:-2] & letter[2:])
+            if len(found):
+                at += int(found[0])
+                cuts.append(np.array([at]))
+            at += most
+    begin = np.sort(np.concatenate(cuts), kind="stable")
+    ends = np.append(begin, len(data)).astype(np.int64)
+    parts = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    first = np.append(np.searchsorted(begin, offsets[:-1]), len(begin)) if len(begin) > n else np.arange(n + 1)
+    return parts, first
+
+
+def some_texts(parts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """Neighbouring texts of about `most` bytes together."""
+    ends = np.frombuffer(parts.buffers()[1], np.int64) if len(parts) else np.zeros(1, np.int64)
+    begin = 0
+    while begin < len(parts):
+        stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, "right")) - 1)
+        yield parts.slice(begin, stop - begin)
+        begin = stop
+
+
 def encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words joined, number of ids of each word), by the tokenizers library."""
     known = specials(path)
@@ -252,6 +290,18 @@ class WordCache:
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts joined, offsets of each text in them) of a string column."""
+        parts, first = cut_long(column, self.path)
+        if len(parts) == len(first) - 1:
+            return self._encode(parts)
+        ids, size = [], [np.zeros(0, np.int64)]
+        for some in some_texts(parts):
+            got, ends = self._encode(some)
+            ids.append(got)
+            size.append(np.diff(ends))
+        ends = np.append(0, np.cumsum(np.concatenate(size)))
+        return np.concatenate(ids), ends[first]
+
+    def _encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         words, index, first = distinct_words(column, self.path)
         words = words.to_pylist()
         if len(self.index) + len(words) > self.limit:

@@ -103,7 +103,8 @@ def write_records(
     ship(spark)
     folder = folder or fresh_path(spark, "records")
     read = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    order = [F.col("doc_id"), F.xxhash64("text")]  # the hash splits an id that has too many rows for a task
+    # the hash and the place split an id, and a text, that has too many rows for a task
+    order = [F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
     dealt = read.repartitionByRange(*order).sortWithinPartitions(*order)
     return store(dealt.mapInArrow(lambda batches: _write(batches, folder, path, end_id), MANIFEST), "manifest")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom.llm.bpe_codec import decode_ids, encode_documents
 from sessionloom.llm.embedding_dedup import similar_vectors
 from sessionloom.llm.ngram_join import similar_documents
+from sessionloom.llm.oracle import oracle_sql  # noqa: F401  offered with the queries
 from sessionloom.llm.packing import pack_documents
 from sessionloom.llm.secrets import find_secrets, joined
 from sessionloom.llm.suffix_dedup import repeated_bytes
@@ -96,7 +97,3 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_secret_scan, op2_bpe_codec, op3_embedding_dedup, op4_ngram_join, op5_best_fit_packing, op6_token_counts, op7_top_k_search, op8_toxicity, op9_token_records, op10_suffix_dedup)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

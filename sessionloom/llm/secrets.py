@@ -225,11 +225,14 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", thresholds: dict[in
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows, each secret in the text replaced by a mark; overlapping spans by one.
 
-    Null texts stay null; n_chars, where there is one, follows the text.
+    Null texts stay null; n_chars, where there is one, follows the text; all other columns
+    stay, whatever their names.
     """
-    columns = docs.columns
-    found = find_secrets(docs, text_col=text_col)
-    text, spans = F.col(text_col), F.col("secrets.spans")
+    columns, own = docs.columns, "secrets"
+    while own in columns:
+        own += "_"
+    found = docs.withColumn(own, all_spans(F.col(text_col), discovery_thresholds(docs, text_col=text_col)))
+    text, spans = F.col(text_col), F.col(f"{own}.spans")
 
     def step(acc: Column, s: Column) -> Column:
         before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])

@@ -218,3 +218,55 @@ def test_top_k(spark):
     got = topk_search.top_k(df, F.col("vec_id") % 20 == 0, k=5)
     assert collections.Counter(tuple(r) for r in got.collect()) == want
     assert topk_search.top_k(df.where("false"), F.col("vec_id") >= 0).collect() == []
+
+
+def test_strings_that_sums_take_for_equal_stay(spark):
+    parity = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = parity.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, parity), (2, other)], "doc_id long, text string")
+    got = suffix_dedup.repeated_bytes(df, length=1024, anchor=1024).collect()
+    assert all(r.spans == [] and bytes(r.kept).decode() == r.text for r in got)
+
+
+def test_long_texts_in_windows(spark, monkeypatch):
+    pick = random.Random(8)
+    base = "".join(pick.choice("abcdefgh") for _ in range(400))
+    texts = ["".join(pick.choice("abcdefgh") for _ in range(1500)) + base[:250], base + "".join(pick.choice("abcdefgh") for _ in range(700)), base * 4]
+    runs = suffix_dedup.PART
+    monkeypatch.setattr(suffix_dedup, "PART", 100)
+    import pyarrow as pa
+
+    table = pa.table({"text": pa.array(texts)})
+    count = collections.Counter()
+    for at, part in suffix_dedup._parts(table, 40, 16):
+        for a, n in zip((part.first + at).tolist(), part.count.tolist()):
+            count.update(range(a, a + n))
+    ends = np.cumsum([len(t) for t in texts])
+    want = [i for t, e in zip(texts, ends) for i in range(e - len(t), e - 39)]
+    assert sorted(count) == want and set(count.values()) == {1} and runs > 100
+
+
+def test_kept_characters_are_whole(spark):
+    same = "é" * 30
+    df = spark.createDataFrame([(1, "a" + same + "é"), (2, "Ã" + same + "b")], "doc_id long, text string")
+    got = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup.repeated_bytes(df, length=21, anchor=8, characters=True).collect()}
+    assert all(set(t) <= set("abéÃ") for t in got.values())
+
+
+def test_equal_chunks_stay_apart(spark):
+    from sessionloom.llm._chunks import packed
+
+    df = spark.createDataFrame([("x" * 100,)] * 40, "text string").repartition(2)
+    keys = [bytes(r.chunk) for r in df.mapInArrow(packed(200), "chunk binary, packed binary").select("chunk").collect()]
+    assert len(keys) == len(set(keys)) >= 10
+
+
+def test_sorted_prefix_doubling_agrees(spark):
+    pick = random.Random(12)
+    base = ["".join(pick.choice("abé ") for _ in range(pick.randint(5, 60))) for _ in range(8)]
+    texts = ["".join(pick.choice(base) for _ in range(pick.randint(0, 4))) for _ in range(60)] + [None, "", "a" * 90, base[0]]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    got = {(r.doc, r["at"]) for r in suffix_dedup.repeated_by_sorting(df, length=21).collect()}
+    data = [(t or "").encode() for t in texts]
+    count = collections.Counter(d[i : i + 21] for d in data for i in range(len(d) - 20))
+    assert got == {(k, i) for k, d in enumerate(data) for i in range(len(d) - 20) if count[d[i : i + 21]] > 1}

@@ -133,3 +133,61 @@ def test_near_duplicates_are_rows_not_ids(spark, tmp_path):
     assert got.columns == docs.columns
     want = [(1, a), (1, b), (7, c), (8, None), (9, ""), (None, None), (None, "x y z")]
     assert sorted(map(repr, got.select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in want)
+
+
+def test_pipeline_with_nulls_repeats_and_clashes(spark, tmp_path):
+    import corpus_pipeline as P
+
+    pick = random.Random(4)
+    word = lambda: "".join(pick.choice("abcdefghijé") for _ in range(6))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, long, one, two = prose(80), prose(400), prose(60), prose(60)
+    texts = [None, "", " \n ", prose(3), long, long, one + "x" + passage + "é", two + "é" + passage, passage]
+    rows = [(i, t, "en", "s", len(t or ""), "a", "b", "c", "d", i) for i, t in enumerate(texts)]
+    rows += [(4, long, "en", "s", 5, "a", "b", "c", "d", 1), (None, None, None, None, None, None, None, None, None, None)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, spans string, kept string, secrets string, row string, row_key long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, some in (("some", rows), ("none", [])):
+        now = spark.createDataFrame(some, columns)
+        for k, (stage, f) in enumerate(P.STAGES):
+            f(spark, now, str(tmp_path)).write.parquet(str(tmp_path / f"{name}{k}"))
+            now = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            if k < 4:
+                assert now.columns == spark.createDataFrame([], columns).columns, stage
+            if k == 2 and some:
+                left = {r.doc_id: r for r in now.collect()}
+                assert set(left) == {0, 1, 2, 3, 4, 6, 7, None}
+                assert (left[6].text, left[7].text, left[6].spans, left[6].n_chars) == (one + "xé", two + "é", "a", len(one) + 2)
+                assert left[0].text is None and left[1].text == "" and left[4].text == long
+        assert now.count() == len(left) if some else now.count() == 0
+
+
+def test_false_discoveries_are_few(spark):
+    pick = random.Random(11)
+    parts = "get set user account value list item name total order data cache file path load save index page view model state test".split()
+    joins = [lambda w: "_".join(w), lambda w: "/".join(w), lambda w: "-".join(w), lambda w: "".join(x.title() for x in w), "".join]
+    words = ["".join(pick.choice(joins)([pick.choice(parts) for _ in range(pick.randint(5, 12))])) for _ in range(4000)]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(pick.choice(letters) for _ in range(pick.choice((32, 40, 64)))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([f"a {w} b" for w in words + keys])], "doc_id long, text string")
+    hit = {r.doc_id for r in secrets.find_secrets(df).collect() if any(s.kind == "random" for s in r.secrets.spans)}
+    false, true = len([i for i in hit if i < 4000]), len([i for i in hit if i >= 4000])
+    assert true >= 150 and false <= 0.02 * len(hit) + 1
+
+
+def test_toxicity_of_long_texts_and_repeated_ids(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    pick = random.Random(5)
+    text = "".join(pick.choice("abc é") for _ in range(5000))
+    table = np.arange(1 << toxicity.BITS, dtype=np.int32)
+    whole = toxicity.present(pa.array([text, None, text[:50]]), table, 1 << toxicity.BITS)
+    monkeypatch.setattr(toxicity, "WINDOW", 700)
+    parts = toxicity.present(pa.array([text, None, text[:50]]), table, 1 << toxicity.BITS)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+    rows = [(i, ("bad" if i % 2 else "good") + f" word{i % 7}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, label int")
+    one = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    many = toxicity.fit(spark.createDataFrame(rows * 20, "doc_id long, text string"), labels.unionByName(labels))
+    assert one.buckets.tolist() == many.buckets.tolist() and one.weights == pytest.approx(many.weights)

@@ -156,3 +156,26 @@ def test_local_search_empties_a_bin():
 def test_sha_of_columns(spark, docs, expected):
     got = bpe_codec.encode_documents(docs, PATH).where("doc_id = 0").select(F.sha2("ids", 256).alias("h")).first().h
     assert got == hashlib.sha256(np.array(expected[1][0], "<u4").tobytes()).hexdigest()
+
+
+def test_long_texts_are_cut_between_words():
+    pick = random.Random(6)
+    texts = ["", "".join(pick.choice(BITS) for _ in range(3000)), " ".join("ab" for _ in range(2000)), None, "x" * 500, ""]
+    parts, first = _bpe.cut_long(pa.array(texts), PATH, most=200)
+    assert "".join(parts.to_pylist()) == "".join(t or "" for t in texts) and len(parts) > 20
+    assert ["".join(parts.to_pylist()[a:b]) for a, b in zip(first, first[1:])] == [t or "" for t in texts]
+    tok = _bpe.load_tokenizer(PATH)
+    each = [tok.encode(t, add_special_tokens=False).ids for t in parts.to_pylist()]
+    for t, a, b in zip(texts, first, first[1:]):
+        assert sum(each[a:b], []) == tok.encode(t or "", add_special_tokens=False).ids
+    assert [len(x) for x in _bpe.some_texts(parts, 300)] and sum(len(x) for x in _bpe.some_texts(parts, 300)) == len(parts)
+
+
+def test_packing_offers_all_exchanges():
+    size = np.random.default_rng(1).integers(500, 1101, 4000)
+    bins = packing.pack(size)
+    assert sorted(x for b in bins for x in b) == list(range(4000)) and max(size[b].sum() for b in bins) <= 2048
+    decreasing = packing.Bins(2048, size.tolist())
+    for i in np.argsort(-size, kind="stable").tolist():
+        decreasing.add(i)
+    assert len(bins) <= 0.98 * len(decreasing.room)

@@ -1,14 +1,18 @@
-"""Times the headline queries; prints one line of JSON."""
+"""Times the headline queries, and DuckDB on the same tables; prints one line of JSON."""
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import time
+from collections.abc import Callable
 from statistics import median
 
+import duckdb
 from pyspark.sql import SparkSession
 
+from sessionloom.plans import oracle
 from sessionloom.plans import queries as recommender
 
 HEADLINE = (
@@ -16,7 +20,16 @@ HEADLINE = (
     "cluster_popularity", "session_embedding", "source_flags", "features_full", "rank_topk", "submission_strings",
     "recall_weighted", "basket_co_visit",
 )
-SLOW = ("source_flags", "features_full")
+
+
+def timed(run: Callable[[], object]) -> float:
+    """The median of two runs after a warm-up."""
+    runs = []
+    for _ in range(3):
+        began = time.perf_counter()
+        run()
+        runs.append(time.perf_counter() - began)
+    return round(median(runs[1:]), 3)
 
 
 def main() -> None:
@@ -32,15 +45,18 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    took = {}
+    con = duckdb.connect()
+    con.execute(f"SET threads = {cpus}")
+    for path in glob.glob(f"{folder}/*.parquet"):
+        name = os.path.basename(path).removesuffix(".parquet")
+        parts = f"{path}/*.parquet" if os.path.isdir(path) else path
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{parts}')")
+    took, other, sql = {}, {}, oracle.oracle_sql()
     for name in HEADLINE:
-        runs = []
-        for _ in range(1 if name in SLOW else 3):  # one warm-up for the short ones
-            began = time.perf_counter()
-            recommender.queries()[name](spark, folder).write.format("noop").mode("overwrite").save()
-            runs.append(time.perf_counter() - began)
-        took[name] = round(median(runs[1:] or runs), 3)
-    print(json.dumps({"metric": "headline_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": folder.rpartition("sf")[2]}))
+        query = recommender.queries()[name]
+        took[name] = timed(lambda: query(spark, folder).write.format("noop").mode("overwrite").save())
+        other[name] = timed(lambda: con.execute(sql[name]).fetch_arrow_table())
+    print(json.dumps({"metric": "headline_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "duckdb": other, "sf": folder.rpartition("sf")[2]}))
 
 
 if __name__ == "__main__":

@@ -47,6 +47,8 @@ class Config:
     knn_items: int = 600_000
     ivf_cells: int = 100
     ivf_probes: int = 3
+    ivf_recall: float = 0.97
+    ivf_audit: int = 256
     clusters: int = 50
     kmeans_iterations: int = 100
     kmeans_tolerance: float = 1e-3

@@ -46,8 +46,9 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def spread(seed: int, *keys: Column) -> Column:
-    """A pseudo-random order from integer keys that plain SQL can compute as well."""
+    """A pseudo-random order from integer keys that plain SQL can compute as well; a round for each key and a last
+    one, without which neighbouring keys would stay neighbours."""
     out = F.lit(seed).cast("long")
-    for k in keys:
+    for k in (*keys, F.lit(0)):
         out = F.pmod(out * F.lit(1_103_515_245).cast("long") + k.cast("long") + F.lit(12_345), F.lit(2_147_483_647).cast("long"))
     return out

@@ -41,9 +41,13 @@ def popularity(events: DataFrame, clusters: DataFrame | None, config: Config, *,
         counts[f"rank_{t}_{name}"] = F.count_if(F.col("type") == i)
         counts[f"rank_{t}_7d_{name}"] = F.count_if((F.col("type") == i) & late)
     counted = placed.groupBy("cl", "aid").agg(*(c.alias(n) for n, c in counts.items()))
-    own = Window.partitionBy("cl")
-    ranks = {
-        n: F.least(F.row_number().over(own.orderBy(F.desc(n), "aid")), F.lit(config.popular_clip)).cast("long") for n in counts
-    }
-    ranked = counted.select("cl", "aid", *(r.alias(n) for n, r in ranks.items()))
-    return ranked.where(least_of([F.col(n) for n in ranks]) <= config.popular_keep) if keep else ranked
+    # only places before the clip need an order: every task keeps that many rows of a cluster, and no more are moved
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in counts))).alias("x")
+    order = Window.partitionBy("cl", "name").orderBy(F.desc("n"), "aid")
+    first = counted.select("cl", "aid", each).select("cl", "aid", "x.*").withColumn("rank", F.row_number().over(order))
+    first = first.where(F.col("rank") < config.popular_clip)
+    wide = first.groupBy("cl", "aid").agg(*(F.max(F.when(F.col("name") == n, F.col("rank"))).alias(n) for n in counts))
+    clipped = [F.coalesce(F.col(n), F.lit(config.popular_clip)).cast("long").alias(n) for n in counts]
+    if keep:
+        return wide.where(least_of([F.col(n) for n in counts]) <= config.popular_keep).select("cl", "aid", *clipped)
+    return counted.select("cl", "aid").join(wide, ["cl", "aid"], "left").select("cl", "aid", *clipped)

@@ -70,44 +70,58 @@ def top_pairs(counts: DataFrame, n: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
 
 
-def popularity_rows(counts: DataFrame) -> DataFrame:
-    """Adds row, the place of a pair in its kind by falling count, aid, aid_next.
+BLOCK = 1024  # ids whose offsets are summed in one window
 
-    No window holds a whole kind: places are sums of offsets of count, then item, then pair.
-    """
-    per_item = counts.groupBy("kind", "count", "aid").agg(F.count("*").alias("n"))
-    per_count = per_item.groupBy("kind", "count").agg(F.sum("n").alias("n"))
-    falling = Window.partitionBy("kind").orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)
-    rising = Window.partitionBy("kind", "count").orderBy("aid").rowsBetween(Window.unboundedPreceding, -1)
-    before_count = per_count.select("kind", "count", F.coalesce(F.sum("n").over(falling), F.lit(0)).alias("before_count"))
-    before_item = per_item.select("kind", "count", "aid", F.coalesce(F.sum("n").over(rising), F.lit(0)).alias("before_item"))
-    inner = Window.partitionBy("kind", "count", "aid").orderBy("aid_next")
-    placed = counts.withColumn("place", F.row_number().over(inner))
-    placed = placed.join(before_item, ["kind", "count", "aid"]).join(before_count, ["kind", "count"])
-    row = F.col("before_count") + F.col("before_item") + F.col("place")
-    return placed.select("kind", "aid", "aid_next", "count", row.alias("row"))
+
+def _offsets(dealt: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """How many pairs of a kind stand before a count, before a block of items of a count, and before an item
+    of a block, by falling count, then item.  No window holds a whole kind, or all items of a count."""
+    per_item = dealt.groupBy("kind", "aid", "count").agg(F.count("*").alias("n"))
+    per_item = per_item.withColumn("block", F.floor(F.col("aid") / BLOCK))
+    per_block = per_item.groupBy("kind", "count", "block").agg(F.sum("n").alias("n"))
+    per_count = per_block.groupBy("kind", "count").agg(F.sum("n").alias("n"))
+
+    def before(name: str, own, order) -> F.Column:
+        rows = own.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(rows), F.lit(0)).alias(name)
+
+    return (
+        per_count.select("kind", "count", before("before_count", Window.partitionBy("kind"), F.desc("count"))),
+        per_block.select("kind", "count", "block", before("before_block", Window.partitionBy("kind", "count"), F.col("block"))),
+        per_item.select("kind", "count", "block", "aid", before("before_item", Window.partitionBy("kind", "count", "block"), F.col("aid"))),
+    )
 
 
 def pair_features(counts: DataFrame, config: Config) -> DataFrame:
-    """kind, aid, aid_next, count, count_pop, perc_pop, rank, count_rel of each item's first followers."""
+    """kind, aid, aid_next, count, count_pop, perc_pop, rank, count_rel of each item's first followers.
+
+    perc_pop is the place of a pair in its kind by falling count, aid, aid_next.  One exchange
+    by item serves the ranks, the first followers and the counts of items.
+    """
     q = f"percentile_disc({config.top_quantile}) within group (order by count)"
     about = counts.groupBy("kind").agg(F.min("count").alias("low"), F.expr(q).cast("long").alias("high"), F.count("*").alias("n"))
     first_n = F.lit(0)
     for name, k in config.co_events.items():
         first_n = F.when(F.col("kind") == name, k.first_n).otherwise(first_n)
+    dealt = counts.repartition("kind", "aid")
     item = Window.partitionBy("kind", "aid")
-    ranked = popularity_rows(counts).withColumns(
+    ranked = dealt.withColumns(
         {
             "rank": F.row_number().over(item.orderBy(F.desc("count"), "aid_next")).cast("long"),
             "most": F.max("count").over(item),
         }
     )
-    kept = ranked.where(F.col("rank") <= first_n).join(F.broadcast(about), "kind")  # a row per kind
+    ranked = ranked.withColumn("place", F.col("rank") + 1 - F.min("rank").over(Window.partitionBy("kind", "aid", "count")))
+    kept = ranked.where(F.col("rank") <= first_n).withColumn("block", F.floor(F.col("aid") / BLOCK))
+    by_count, by_block, by_item = _offsets(dealt)
+    placed = kept.join(by_item, ["kind", "count", "block", "aid"]).join(by_block, ["kind", "count", "block"])
+    placed = placed.join(by_count, ["kind", "count"]).join(F.broadcast(about), "kind")  # a row per kind
+    row = F.col("before_count") + F.col("before_block") + F.col("before_item") + F.col("place")
     above = share(F.col("count") - F.col("low"), F.col("high") - F.col("low"), 1.0)
-    return kept.select(
+    return placed.select(
         "kind", "aid", "aid_next", "count",
         F.when(F.col("high") > F.col("low"), whole(F.least(above, F.lit(1.0)) * 10_000)).alias("count_pop"),
-        whole(F.col("row") / F.col("n") * 10_000).alias("perc_pop"),
+        whole(row / F.col("n") * 10_000).alias("perc_pop"),
         "rank",
         whole(F.col("count") / F.col("most") * 100).alias("count_rel"),
     )

@@ -45,6 +45,21 @@ def _with_total(by_type: DataFrame, measures: Sequence[str], keys: Sequence[str]
     return each.groupBy(*keys, F.col("x.type").alias("type")).agg(*(F.sum(F.col(m) * F.col("x.w")).alias(m) for m in measures))
 
 
+def ndcg(ranked: DataFrame, labels: DataFrame, config: Config) -> DataFrame:
+    """type, n_sessions and the mean NDCG at keep_top_k of sessions with labels of the type; ranked is
+    (session, type, aid, pred_rank), ranks from 1."""
+    k = config.keep_top_k
+    truth = labels.select("session", "type", "aid").distinct()
+    hits = ranked.where(F.col("pred_rank") <= k).join(truth, ["session", "type", "aid"])
+    got = hits.groupBy("session", "type").agg(F.sum(1 / F.log2(F.col("pred_rank") + 1)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    best = truth.groupBy("session", "type").agg(F.count("*").alias("n")).select("session", "type", ideal.alias("ideal"))
+    kinds = ranked.select("type").distinct()
+    rated = best.join(kinds, "type").join(got, ["session", "type"], "left")
+    each = rated.groupBy("type").agg(F.count("*").alias("n_sessions"), F.avg(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg"))
+    return each.select(_type_names().alias("type"), "n_sessions", "ndcg")
+
+
 def recall_ceiling(rows: DataFrame, labels: DataFrame, config: Config) -> DataFrame:
     """source, type and the recall of the first 20, 100, 200 and of all candidates, for each source
     and for each but src_any and src_self without the session's own items.

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sessionloom.cluster import ship
 from sessionloom.config import TYPES, Config
 from sessionloom.functions import spread
 
@@ -41,22 +46,68 @@ def split_sessions(rows: DataFrame, valid_share: float, config: Config) -> tuple
     return rows.where(place >= int(valid_share * 10_000)), rows.where(place < int(valid_share * 10_000))
 
 
-def fit_ranker(rows: DataFrame, target: str, config: Config, **overrides) -> GBTClassificationModel:
-    """Gradient-boosted trees on the target, pointwise: Spark has no listwise ranker."""
-    options = dict(
-        maxIter=config.trees, maxDepth=config.tree_depth, stepSize=config.step_size, subsamplingRate=config.row_share,
-        featureSubsetStrategy=str(config.column_share), minInstancesPerNode=config.min_leaf_rows, seed=config.seed,
-        labelCol=f"target_{target}", featuresCol="features",
-    )
-    columns = feature_columns(rows)
-    data = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
-    return GBTClassifier(**(options | overrides)).fit(data.select("features", f"target_{target}"))
+def _slopes(k: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one session's rows: the step towards a better NDCG at k, and its weight (LambdaRank, by Newton)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        label, score = rows["label"].to_numpy().astype(bool), rows["prediction"].to_numpy()
+        place = np.empty(len(score), np.int64)
+        place[np.argsort(-score, kind="stable")] = np.arange(len(score))
+        discount = np.where(place < k, 1 / np.log2(place + 2), 0)
+        ideal = (1 / np.log2(np.arange(min(int(label.sum()), k)) + 2)).sum() or 1.0
+        up, down = np.flatnonzero(label), np.flatnonzero(~label)
+        change = np.abs(discount[up][:, None] - discount[down][None, :]) / ideal
+        doubt = 1 / (1 + np.exp(np.clip(score[up][:, None] - score[down][None, :], -50, 50)))
+        slope, weight = np.zeros(len(score)), np.full(len(score), 1e-6)
+        slope[up], slope[down] = (doubt * change).sum(1), -(doubt * change).sum(0)
+        curve = doubt * (1 - doubt) * change
+        weight[up] += curve.sum(1)
+        weight[down] += curve.sum(0)
+        x = rows["x"].cast(pa.list_(pa.field("element", pa.float64())))
+        return pa.table([x, pa.array(slope / weight), pa.array(weight)], names=["x", "step", "weight"])
+
+    return run
+
+
+def fit_ranker(rows: DataFrame, target: str, config: Config, *, trees: int | None = None) -> GBTRegressionModel:
+    """Boosted trees that rank the rows of each session by the target (LambdaRank): every tree is fitted to the
+    steps that most raise NDCG at keep_top_k, from the scores of those before it.
+
+    `rows` are read once for every tree; a session's rows meet in one task (a sample has max_negatives at most).
+    """
+    columns, spark = feature_columns(rows), rows.sparkSession
+    ship(spark)
+    x = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
+    x = x.select("session", F.col(f"target_{target}").alias("label"), "features")
+    model, made = None, []
+    for i in range(trees or config.trees):
+        scored = x.withColumn("prediction", F.lit(0.0)) if model is None else model.transform(x)
+        narrow = scored.select("session", "label", "prediction", vector_to_array("features").alias("x"))
+        steps = narrow.groupBy("session").applyInArrow(_slopes(config.keep_top_k), "x array<double>, step double, weight double")
+        one = RandomForestRegressor(
+            numTrees=1, bootstrap=False, subsamplingRate=config.row_share, featureSubsetStrategy=str(config.column_share),
+            maxDepth=config.tree_depth, minInstancesPerNode=config.min_leaf_rows, seed=config.seed + i,
+            featuresCol="features", labelCol="step", weightCol="weight",
+        )
+        made.append(one.fit(steps.select(array_to_vector("x").alias("features"), "step", "weight"))._java_obj.trees()[0])
+        model = _boosted(spark, made, config.step_size)
+    return model
+
+
+def _boosted(spark: SparkSession, trees: list, step: float) -> GBTRegressionModel:
+    """One model of trees, each with the same weight."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    each = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    weights = gateway.new_array(jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        each[i], weights[i] = tree, step
+    return GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"ranker_{len(trees)}", each, weights))
 
 
 def scores(rows: DataFrame, model, columns: list[str]) -> DataFrame:
     data = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
-    one = vector_to_array("probability")[1].alias("pred_score")
-    return model.transform(data.select("session", "aid_next", "features")).select("session", "aid_next", one)
+    ranked = model.transform(data.select("session", "aid_next", "features"))
+    return ranked.select("session", "aid_next", F.col("prediction").alias("pred_score"))
 
 
 def feature_importance(spark: SparkSession, model, columns: list[str]) -> DataFrame:
@@ -71,8 +122,8 @@ def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> GBTClassificationModel:
-    return GBTClassificationModel.load(path)
+def load_model(path: str) -> GBTRegressionModel:
+    return GBTRegressionModel.load(path)
 
 
 def top_candidates(scored: DataFrame, k: int) -> DataFrame:

@@ -189,7 +189,7 @@ def _dot(a: str, b: str) -> str:
 
 def _hash(*keys: str) -> str:
     out = str(C.seed)
-    for k in keys:
+    for k in (*keys, "0"):
         out = f"(({out} * 1103515245::BIGINT + {k} + 12345) % 2147483647)"
     return out
 
@@ -229,15 +229,17 @@ CAST(count(*) FILTER (type = 2) > 0 AND count(*) FILTER (type IN (0, 1)) = 0 AS
     "kept_items": f"SELECT * FROM item_ranks WHERE {_truncated(C.last_events, C.most_frequent)}",
     "vecs": "SELECT vec_id AS aid, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings",
     "seen": "SELECT * FROM vecs WHERE aid IN (SELECT aid FROM ev)",
-    "seen_even": "SELECT * FROM vecs WHERE aid % 2 = 0 AND aid IN (SELECT aid FROM ev WHERE type IN (1, 2))",
+    "seen_buys": "SELECT * FROM vecs WHERE aid IN (SELECT aid FROM ev WHERE type IN (1, 2))",
+    "seen_often": "SELECT * FROM vecs WHERE aid IN (SELECT aid FROM ev GROUP BY aid ORDER BY count(*) DESC, aid LIMIT 40)",
     "knn_all": _knn("seen"),
-    "knn_even": _knn("seen_even"),
+    "knn_buys": _knn("seen_buys"),
+    "knn_often": _knn("seen_often"),
     "cand": """SELECT aid, aid AS aid_next FROM kept_items UNION SELECT aid, aid_next FROM pair_feats WHERE aid IN (SELECT aid FROM kept_items)
-UNION SELECT aid, aid_next FROM knn_all UNION SELECT aid, aid_next FROM knn_even""",
+UNION SELECT aid, aid_next FROM knn_all UNION SELECT aid, aid_next FROM knn_buys""",
     "expanded": f"""SELECT i.*, c.aid_next, {', '.join(f'w.{c}' for c in PAIR_COLUMNS)}, {_trunc('a.dist')} AS dist_w2vec_all,
 least(a.rank, 127) AS rank_w2vec_all, {_trunc('e.dist')} AS dist_w2vec_1_2, least(e.rank, 127) AS rank_w2vec_1_2
 FROM kept_items i LEFT JOIN cand c ON i.aid = c.aid LEFT JOIN wide w ON c.aid = w.aid AND c.aid_next = w.aid_next
-LEFT JOIN knn_all a ON c.aid = a.aid AND c.aid_next = a.aid_next LEFT JOIN knn_even e ON c.aid = e.aid AND c.aid_next = e.aid_next""".replace(
+LEFT JOIN knn_all a ON c.aid = a.aid AND c.aid_next = a.aid_next LEFT JOIN knn_buys e ON c.aid = e.aid AND c.aid_next = e.aid_next""".replace(
         "least(a.rank, 127)", "CASE WHEN a.rank IS NOT NULL THEN least(a.rank, 127) END"
     ).replace("least(e.rank, 127)", "CASE WHEN e.rank IS NOT NULL THEN least(e.rank, 127) END"),
     "trimmed": _trim(),
@@ -290,6 +292,13 @@ least(count(*), 20) AS d FROM hits GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (sourc
 }
 
 
+LEAST = " ".join(f"WHEN '{n}' THEN {k.min_count}" for n, k in CO_EVENTS.items())
+TABLES["counts_often"] = f"SELECT * FROM counts WHERE count >= CASE kind {LEAST} END"
+TABLES["ranked_often"] = TABLES["ranked"].replace("FROM counts", "FROM counts_often")
+TABLES["about_often"] = TABLES["about"].replace("FROM counts", "FROM counts_often")
+TABLES["feats_often"] = TABLES["pair_feats"].replace("ranked r JOIN about a", "ranked_often r JOIN about_often a")
+
+
 def _needs(sql: str, upto: list[str]) -> list[str]:
     import re
 
@@ -358,6 +367,8 @@ FINAL = {
     "session_item_truncated": f"SELECT session, aid FROM item_ranks WHERE {_truncated(3, 2)}",
     "sentences": "SELECT session, count(*) AS n_aid, string_agg(aid::VARCHAR, ' ' ORDER BY ts, aid, type) AS sentence FROM ev GROUP BY session",
     "knn_exact": "SELECT aid, aid_next, round(dist, 6) AS dist, rank FROM knn_all",
+    "frequent_item_neighbours": "SELECT aid, aid_next, round(dist, 6) AS dist, rank FROM knn_often",
+    "pair_features_frequent": "SELECT * FROM feats_often",
     "candidate_pairs_union": "SELECT * FROM cand",
     "candidates_expanded": "SELECT * FROM expanded",
     "candidates_trimmed": "SELECT session, aid, aid_next FROM trimmed",

@@ -10,9 +10,10 @@ from sessionloom.config import TYPES, Config
 from sessionloom.operators import candidates as C
 from sessionloom.operators import clusters, covisit, evaluation, features, ranking, sessions, vectors
 from sessionloom.plans import recommend as R
+from sessionloom.plans.stages import Tables
 
 CONFIG = Config().with_min_count(1)
-SMALL = dict(maxIter=5)  # trees in the queries that fit a ranker
+SMALL = dict(trees=5)  # in the queries that fit a ranker
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -41,6 +42,11 @@ def neighbours(spark, d, types=(0, 1, 2)) -> DataFrame:
     return vectors.knn_exact(items, items, CONFIG.knn)
 
 
+def bought_neighbours(spark, d) -> DataFrame:
+    """Neighbours in the catalogue of items that were carted or ordered."""
+    return neighbours(spark, d, (1, 2))
+
+
 def session_clusters(spark, d) -> DataFrame:
     return events(spark, d).select("session", (F.col("session") % 10).cast("int").alias("cluster")).distinct()
 
@@ -50,18 +56,15 @@ def labels(spark, d) -> DataFrame:
 
 
 def inputs(spark, d) -> R.Inputs:
-    # the bought kind: a narrower catalogue, so that its neighbours differ from those of all items
+    keep = Tables(spark)
+    log = keep("events", lambda: events(spark, d))
     return R.Inputs(
-        events(spark, d), counts(spark, d), neighbours(spark, d), neighbours_even(spark, d), item_vectors(spark, d),
-        session_clusters(spark, d), labels(spark, d),
+        log, keep("counts", lambda: covisit.co_counts(log, CONFIG)), keep("neighbours_all", lambda: neighbours(spark, d)),
+        keep("neighbours_buys", lambda: bought_neighbours(spark, d)), item_vectors(spark, d), session_clusters(spark, d),
+        keep("labels", lambda: sources.split_at_midpoint(log)[1]), keep,
     )
 
 
-def neighbours_even(spark, d) -> DataFrame:
-    items = seen_vectors(spark, d, (1, 2)).where("aid % 2 = 0")
-    return vectors.knn_exact(items, items, CONFIG.knn)
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     real = {n for n, t in df.dtypes if t in ("double", "float")}
     return df.select(*(F.round(c, digits).alias(c) if c in real else c for c in df.columns))
@@ -92,13 +95,18 @@ def train_test_split(spark, d):
 
 
 def pair_features(spark, d):
-    return covisit.pair_features(counts(spark, d), CONFIG)
+    return covisit.pair_features(Tables(spark)("counts", lambda: counts(spark, d)), CONFIG)
 
 
 def pair_features_wide(spark, d):
     return covisit.wide_features(pair_features(spark, d), CONFIG)
 
 
+def pair_features_frequent(spark, d):
+    """With the least counts of each kind."""
+    return covisit.pair_features(Tables(spark)("counts", lambda: covisit.co_counts(events(spark, d), Config())), Config())
+
+
 def session_stats(spark, d):
     return sessions.session_stats(events(spark, d))
 
@@ -132,7 +140,7 @@ def knn_exact(spark, d):
 
 def candidate_pairs_union(spark, d):
     items = sessions.session_items(events(spark, d), CONFIG)
-    return C.candidate_pairs(items, pair_features(spark, d), [neighbours(spark, d), neighbours_even(spark, d)])
+    return C.candidate_pairs(items, pair_features(spark, d), [neighbours(spark, d), bought_neighbours(spark, d)])
 
 
 def candidates_expanded(spark, d):
@@ -291,11 +299,29 @@ def kmeans_sessions(spark, d):
     return clusters.cluster_sessions(s, CONFIG, k=5)
 
 
-def knn_ivf(spark, d):
+def _ivf(spark, d) -> DataFrame:
     from dataclasses import replace
 
     items = seen_vectors(spark, d)
-    return vectors.knn_ivf(items, items, replace(CONFIG, ivf_cells=8, ivf_probes=3))
+    return vectors.knn_ivf(items, items, replace(CONFIG, ivf_cells=8))
+
+
+def knn_ivf(spark, d):
+    return rounded(_ivf(spark, d))
+
+
+def knn_ivf_recall(spark, d):
+    """Edges of the exact neighbours, and how many of them the inverted file finds."""
+    found = _ivf(spark, d).select("aid", "aid_next", F.lit(1).alias("hit"))
+    both = neighbours(spark, d).select("aid", "aid_next").join(found, ["aid", "aid_next"], "left")
+    return both.agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
+def frequent_item_neighbours(spark, d):
+    """Neighbours among the most frequent items alone."""
+    from dataclasses import replace
+
+    return rounded(vectors.frequent_neighbours(events(spark, d), item_vectors(spark, d), replace(CONFIG, knn_items=40)))
 
 
 def _numeric(spark, d) -> DataFrame:
@@ -304,13 +330,23 @@ def _numeric(spark, d) -> DataFrame:
 
 
 def ranker_scores(spark, d):
-    rows = _numeric(spark, d).persist()  # read by every tree and again for the scores
+    rows = Tables(spark)("features", lambda: _numeric(spark, d))  # read by every tree and again for the scores
     trained = R.train(rows, ("carts",), CONFIG, **SMALL)
     return R.recommend(rows, trained, CONFIG)
 
 
+def ranker_ndcg(spark, d):
+    """NDCG of sessions that the ranker has not seen, by target."""
+    rows = Tables(spark)("features", lambda: _numeric(spark, d))
+    seen, unseen = ranking.split_sessions(rows, 0.3, CONFIG)
+    trained = R.train(seen, ("carts",), CONFIG, **SMALL)
+    best = R.recommend(unseen, trained, CONFIG)
+    own = unseen.select("session").distinct()
+    return evaluation.ndcg(best.select("session", "type", F.col("aid_next").alias("aid"), "pred_rank"), labels(spark, d).join(own, "session", "left_semi"), CONFIG)
+
+
 def feature_importance(spark, d):
-    rows = _numeric(spark, d).persist()
+    rows = Tables(spark)("features", lambda: _numeric(spark, d))
     trained = R.train(rows, ("orders",), CONFIG, **SMALL)
     return ranking.feature_importance(spark, trained.models["orders"], trained.columns)
 
@@ -323,7 +359,8 @@ QUERIES = (
     session_embedding, session_item_similarity, labels_join, null_policy, features_full, downsample_negatives,
     group_sizes, rank_topk, submission_strings, submission_parse, recall_weighted, recall_ceiling_by_source,
     candidate_count_describe, basket_co_visit, etl_sessions, etl_labels, word2vec_vectors, kmeans_sessions, knn_ivf,
-    ranker_scores, feature_importance,
+    knn_ivf_recall, frequent_item_neighbours, pair_features_frequent,
+    ranker_scores, ranker_ndcg, feature_importance,
 )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,12 +12,14 @@ from sessionloom.config import Config
 from sessionloom.operators import candidates as C
 from sessionloom.operators import clusters, covisit, features, ranking, sessions, vectors
 from sessionloom.operators.evaluation import weighted_recall
+from sessionloom.plans.stages import Tables, unwritten
 
 
 @dataclass
 class Inputs:
     """What the features are made of.  counts: kind, aid, aid_next, count; neighbours: aid, aid_next,
-    dist, rank; item_vectors: aid, vector; session_clusters: session, cluster."""
+    dist, rank; item_vectors: aid, vector; session_clusters: session, cluster.  `keep`, a Tables,
+    writes what several steps read."""
 
     events: DataFrame
     counts: DataFrame
@@ -25,19 +28,20 @@ class Inputs:
     item_vectors: DataFrame
     session_clusters: DataFrame
     labels: DataFrame | None = None
+    keep: Callable[[str, Callable[[], DataFrame]], DataFrame] = unwritten
 
 
 def candidate_rows(x: Inputs, config: Config) -> DataFrame:
     """(session, aid, aid_next) with item and pair features, before trimming."""
-    items = sessions.session_items(x.events, config)
-    pairs = covisit.pair_features(x.counts, config)
+    items = x.keep("session_items", lambda: sessions.session_items(x.events, config))
+    pairs = x.keep("pair_features", lambda: covisit.pair_features(x.counts, config))
     knns = [vectors.knn_features(x.neighbours_all, "all"), vectors.knn_features(x.neighbours_buys, "1_2")]
     pool = C.candidate_pairs(items, pairs, knns)
     return C.expanded(items, pool, covisit.wide_features(pairs, config), knns)
 
 
 def collapsed_rows(x: Inputs, config: Config) -> DataFrame:
-    return C.collapsed(C.trimmed(candidate_rows(x, config), config), config)
+    return x.keep("collapsed", lambda: C.collapsed(C.trimmed(candidate_rows(x, config), config), config))
 
 
 def sourced_rows(x: Inputs, config: Config) -> DataFrame:
@@ -64,7 +68,12 @@ class Trained:
 
 
 def train(rows: DataFrame, targets: tuple[str, ...], config: Config, **overrides) -> Trained:
-    models = {t: ranking.fit_ranker(ranking.downsample(rows, t, config), t, config, **overrides) for t in targets}
+    """A ranker for each target.  Its sample is written, as every tree reads it."""
+    keep = Tables(rows.sparkSession)
+    models = {}
+    for t in targets:
+        sample = keep(f"sample_{t}", lambda: ranking.downsample(rows, t, config))
+        models[t] = ranking.fit_ranker(sample, t, config, **overrides)
     return Trained(models, ranking.feature_columns(rows))
 
 

@@ -172,3 +172,114 @@ def test_counts_are_symmetric(spark):
     got = covisit.co_counts(events, ONE).where("kind = 'click_to_click'")
     back = got.select("kind", F.col("aid_next").alias("aid"), F.col("aid").alias("aid_next"), "count")
     assert got.exceptAll(back.select(got.columns)).count() == 0
+
+
+def test_tables_are_written_once_and_resumed(spark, tmp_path):
+    from sessionloom.plans.stages import Tables, run_name
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    first = Tables(spark, f"file://{tmp_path}")
+    assert first("a", make).count() == first("a", make).count() == 3 and made == [1]
+    assert Tables(spark, f"file://{tmp_path}")("a", make).count() == 3 and made == [1]
+    assert Tables(spark)("a", make).count() == 3 and made == [1, 1]
+    (tmp_path / "a" / "_SUCCESS").unlink()  # a write that did not finish is made again
+    assert first("a", make).count() == 3 and made == [1, 1, 1]
+    assert run_name("x") != run_name("x") and run_name("x").startswith("x-")
+
+
+def test_offsets_across_blocks_of_items(spark):
+    ids = [1, 5, 1023, 1024, 5000, -7]
+    rows = [("cart_to_cart", a, n, 1 + (a + n) % 2) for a in ids for n in (3, 4, 9)]
+    counts = spark.createDataFrame(rows, "kind string, aid long, aid_next long, count long")
+    got = {(r.aid, r.aid_next): r.perc_pop for r in covisit.pair_features(counts, ONE).collect()}
+    order = sorted(rows, key=lambda r: (-r[3], r[1], r[2]))
+    assert got == {(r[1], r[2]): int((i + 1) / len(rows) * 10_000) for i, r in enumerate(order)}
+
+
+def test_popularity_ranks_are_clipped(spark):
+    events = log(spark, *[(s, a, 0, 0) for a in range(30) for s in range(1 + a % 7)])
+    got = {r.aid: r.rank_clicks_cl1 for r in clusters.popularity(events, None, replace(ONE, popular_clip=10), name="cl1", keep=False).collect()}
+    order = sorted(range(30), key=lambda a: (-(1 + a % 7), a))
+    assert got == {a: min(i + 1, 10) for i, a in enumerate(order)}
+
+
+def test_neighbours_across_slabs_and_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((90, 8)).astype(np.float32)
+    x[7] = x[3]
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "aid long, vector array<float>")
+    got = {(r.aid, r.rank): r.aid_next for r in vectors.knn_exact(items, items, 5, query_slab=40, item_slab=25).collect()}
+    dist = ((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
+    for i in range(90):
+        assert [got[i, k + 1] for k in range(5)] == np.lexsort((np.arange(90), dist[i]))[:5].tolist()
+    ivf = vectors.knn_ivf(items, items, replace(ONE, ivf_cells=6, ivf_recall=0.95), 5)
+    found = {(r.aid, r.aid_next) for r in ivf.collect()}
+    assert len(found & {(a, b) for (a, _), b in got.items()}) >= 0.9 * 450
+
+
+def test_saved_models_and_files(spark, tmp_path):
+    words = spark.createDataFrame([(["1", "2", "3"],), (["2", "3", "1"],)] * 5, "sentence array<string>")
+    model = vectors.fit_word2vec(words, ONE, vectorSize=4, minCount=1)
+    vectors.save_word2vec(model, f"file://{tmp_path}/w2v")
+    again = vectors.load_word2vec(f"file://{tmp_path}/w2v")
+    assert sorted(vectors.item_vectors(again).collect()) == sorted(vectors.item_vectors(model).collect())
+    rows = spark.createDataFrame([(s, a, float(a), int(a == 1)) for s in range(40) for a in range(3)], "session long, aid_next long, x double, target_carts int")
+    train, valid = ranking.split_sessions(rows, 0.3, ONE)
+    assert train.count() + valid.count() == 120 and 0 < valid.count() < 120
+    assert not {r.session for r in train.collect()} & {r.session for r in valid.collect()}
+    ranker = ranking.fit_ranker(rows, "carts", replace(ONE, min_leaf_rows=1), trees=2)
+    ranking.save_model(ranker, f"file://{tmp_path}/ranker")
+    names = ranking.feature_columns(rows)
+    want = sorted(ranking.scores(rows, ranker, names).collect())
+    assert sorted(ranking.scores(rows, ranking.load_model(f"file://{tmp_path}/ranker"), names).collect()) == want
+    listed = spark.createDataFrame([("1_carts", "5 6"), ("2_orders", "7")], "session_type string, labels string")
+    sources.write_csv(listed, f"file://{tmp_path}/submission")
+    assert sorted(sources.read_submission(spark, f"file://{tmp_path}/submission").collect()) == sorted(listed.collect())
+    sources.write_csv(spark.createDataFrame([(1.23456,)], "x double"), f"file://{tmp_path}/rounded", decimals=2)
+    assert spark.read.csv(f"file://{tmp_path}/rounded", header=True).first().x == "1.23"
+
+
+def test_metrics_have_all_rows(spark, tmp_path):
+    import json
+
+    sources.write_metrics(spark.range(12_345), str(tmp_path / "m.json"))
+    assert len(json.loads((tmp_path / "m.json").read_text())) == 12_345
+    sources.write_metrics(spark.range(0), str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == []
+
+
+def test_ranker_is_listwise(spark):
+    import random
+
+    pick = random.Random(3)
+    rows = []
+    for s in range(60):
+        base = pick.random() * 100  # only the differences within a session tell
+        for a in range(12):
+            good = a == s % 12
+            rows.append((s, a, base + 5 * good + pick.random(), pick.random(), int(good)))
+    df = spark.createDataFrame(rows, "session long, aid_next long, x double, y double, target_carts int")
+    few = replace(ONE, min_leaf_rows=2, column_share=1.0, row_share=1.0, tree_depth=6)
+    model = ranking.fit_ranker(df, "carts", few, trees=6)
+    assert model.getNumTrees == 6
+    best = ranking.top_candidates(ranking.scores(df, model, ["x", "y"]), 20).withColumn("type", F.lit(1))
+    truth = df.where("target_carts = 1").select("session", F.lit(1).alias("type"), F.col("aid_next").alias("aid"))
+    row = evaluation.ndcg(best.withColumnRenamed("aid_next", "aid"), truth, ONE).first()
+    assert (row.type, row.n_sessions) == ("carts", 60) and row.ndcg > 0.6  # 0.42 by chance
+
+
+def test_ndcg(spark):
+    ranked = spark.createDataFrame([(1, 0, 7, 1), (1, 0, 8, 2), (1, 0, 9, 3), (2, 0, 5, 1)], "session long, type int, aid long, pred_rank long")
+    truth = spark.createDataFrame([(1, 0, 8), (1, 0, 9), (2, 0, 6), (3, 1, 1)], "session long, type int, aid long")
+    import math
+
+    want = (1 / math.log2(3) + 1 / math.log2(4)) / (1 + 1 / math.log2(3))
+    row = evaluation.ndcg(ranked, truth, ONE).collect()
+    assert [(r.type, r.n_sessions) for r in row] == [("clicks", 2)] and row[0].ndcg == pytest.approx(want / 2)

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,7 +24,7 @@ def duck():
 def rows(frame):
     frame = frame[sorted(frame.columns)]
     return sorted(
-        tuple("null" if v is None or v != v else str(round(float(v), 6)) if not isinstance(v, str) else v for v in r)
+        tuple("null" if pd.isna(v) else str(round(float(v), 6)) if not isinstance(v, str) else v for v in r)
         for r in frame.itertuples(index=False)
     )
 

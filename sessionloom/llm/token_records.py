@@ -146,3 +146,54 @@ def read_records(manifest: DataFrame) -> DataFrame:
     placed = manifest.select("part", "file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first_id"))
     placed = placed.repartition(partitions(manifest.sparkSession))
     return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file in batch.column("file").to_pylist():
+            system, at = fs.FileSystem.from_uri(file)
+            with system.open_input_stream(f"{at}.idx") as f:
+                index = np.frombuffer(f.read(), INDEX)
+            for a in range(0, len(index), 100_000):
+                some = index[a : a + 100_000]
+                columns = [pa.array([file] * len(some)), pa.array(np.arange(a, a + len(some)))]
+                columns += [pa.array(some[c].astype(np.int64)) for c in INDEX.names]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "record", *INDEX.names])
+
+
+def record_places(manifest: DataFrame) -> DataFrame:
+    """file, record (its number there), offset, length and n_tokens of every record, from the index files alone."""
+    ship(manifest.sparkSession)
+    files = manifest.select("file").repartition(partitions(manifest.sparkSession), "file")
+    return files.mapInArrow(_places, "file string, record long, offset long, length long, n_tokens long")
+
+
+def _at_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out, opened = [], {}
+        for row in batch.to_pylist():
+            if row["file"] not in opened:
+                system, at = fs.FileSystem.from_uri(row["file"])
+                opened[row["file"]] = system.open_input_file(f"{at}.rec")
+            payload, _ = unframe(opened[row["file"]].read_at(row["length"], row["offset"]), 0)
+            doc, null, width = PAYLOAD.unpack_from(payload)
+            ids = np.frombuffer(payload, "<u2" if width == 2 else "<u4", offset=PAYLOAD.size)
+            out.append((None if null else doc, len(ids), ids.astype("<u4").tobytes()))
+        for f in opened.values():
+            f.close()
+        kinds = (pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_id", "n_tokens", "ids"]
+        )
+
+
+def read_places(places: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and ids of the records at some places (file, offset, length), in their order: each is read alone."""
+    ship(places.sparkSession)
+    return places.select("file", "offset", "length").mapInArrow(_at_places, "doc_id long, n_tokens long, ids binary")
+
+
+def read_shuffled(manifest: DataFrame, seed: int) -> DataFrame:
+    """All records in an order that the seed fixes.  Places are shuffled, not records."""
+    places = record_places(manifest)
+    return read_places(places.orderBy(F.xxhash64("file", "record", F.lit(seed)), "file", "record"))

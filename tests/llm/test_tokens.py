@@ -100,6 +100,8 @@ def test_records(docs, nothing, expected, tmp_path):
         at += len(own)
     assert len(got) == len(texts)
     assert token_records.read_records(token_records.write_records(nothing, PATH)).collect() == []
+    orders = [[(r.doc_id, bytes(r.ids)) for r in token_records.read_shuffled(manifest, seed).collect()] for seed in (1, 1, 2)]
+    assert orders[0] == orders[1] != orders[2] and sorted(orders[0]) == sorted(orders[2]) == sorted((r.doc_id, bytes(r.ids)) for r in got)
 
 
 def test_records_with_nulls_and_repeats(spark):

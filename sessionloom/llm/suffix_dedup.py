@@ -40,7 +40,7 @@ from sessionloom.llm._chunks import buckets_for, packed, squeeze, unpacked, unsq
 from sessionloom.llm._spark import partitions, ship, store
 
 LENGTH, ANCHOR = 200, 64
-CHUNK_BYTES, PART, BUCKET_BYTES = 8 << 20, 1 << 20, 64 << 20
+CHUNK_BYTES, PART, BUCKET_BYTES = 8 << 20, 1 << 19, 64 << 20
 PRIMES = (2147483647, 2147483629)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -67,7 +67,7 @@ def _powers(base: int, prime: int, n: int) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.uint64, np.ndarray, np.ndarray]]]:
     """Powers of the bases and of their inverses, modulo 2^64 and modulo the primes."""
     both = []
@@ -87,7 +87,7 @@ class Ranks:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        power, self.back, primes = _tables(((n >> 18) + 1) << 18)
+        power, self.back, primes = _tables(max(2 * PART, n + 1))
         letter = data.astype(np.uint64) + np.uint64(1)
         self.sums = self._summed(letter * power[:n])
         self.primes = [(p, self._summed(letter * up[:n]), back) for p, up, back in primes]
@@ -189,7 +189,7 @@ def _parts(table: pa.Table, length: int, anchor: int) -> Iterator[tuple[int, Run
     begin, n = 0, len(offsets) - 1
     while begin < n:
         a, size = int(offsets[begin]), int(offsets[begin + 1] - offsets[begin])
-        if size > 2 * PART:
+        if size > PART:
             for at in range(a, a + size - length + 1, PART):
                 piece = data[at : min(at + PART + length - 1, a + size)]
                 yield at, Runs(piece, np.array([0, len(piece)]), length, anchor)
@@ -197,7 +197,7 @@ def _parts(table: pa.Table, length: int, anchor: int) -> Iterator[tuple[int, Run
             continue
         end = int(np.searchsorted(offsets, a + PART, "left"))
         end = min(max(end, begin + 1), n)
-        long = np.flatnonzero(np.diff(offsets[begin : end + 1]) > 2 * PART)
+        long = np.flatnonzero(np.diff(offsets[begin : end + 1]) > PART)
         if len(long):
             end = begin + int(long[0])
         b = offsets[end]
